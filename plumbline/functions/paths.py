@@ -7,11 +7,12 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.arrow import map_distinct
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Unicode NFC, whole Arrow batches at a time (Spark SQL has no such function)."""
     return map_distinct(text, lambda s: s if s.isascii() else unicodedata.normalize("NFC", s))
