@@ -44,7 +44,7 @@ class RadixAggregator:
                 con.execute(f"CREATE VIEW rows AS SELECT * FROM read_parquet({rows!r})")
             else:
                 con.register("rows", rows)
-            yield from con.execute(self.sql).to_arrow_reader(50_000)
+            yield from con.sql(self.sql).to_arrow_reader(50_000)
 
     def run(self, batches: Iterator[pa.RecordBatch], depth: int = 0) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import distinctive, encoding, frequency, mixing, splitting, terms
+from plumbline.llm import distinctive, encoding, frequency, mixing, sentences, splitting, terms
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir, ship, table
 
@@ -58,4 +58,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentences.prose_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p8_ids, p9_mix, p9_shares, p10_found)}
