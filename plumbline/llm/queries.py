@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import distinctive, encoding, frequency, mixing, sentences, splitting, terms
+from plumbline.llm import distinctive, encoding, frequency, mixing, secrets, sentences, splitting, terms
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir, ship, table
 
@@ -41,6 +41,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_frequencies(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return secrets.redact_fragments(table(spark, sf_dir, "preview_fragments"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_spans(p7_redacted(spark, sf_dir))
+
+
+def p7_preview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.preview_counts(p7_redacted(spark, sf_dir), table(spark, sf_dir, "send_previews"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
@@ -63,4 +76,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.prose_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
