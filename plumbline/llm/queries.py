@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import distinctive, encoding, frequency, mixing, secrets, sentences, splitting, terms
+from plumbline.llm import distinctive, encoding, frequency, handwritten, mixing, secrets, sentences, splitting, terms
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir, ship, table
 
 
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    shared_dir(spark)
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "upstream_files"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_reasons(spark, sf_dir).select("file_id")
+
+
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     shared_dir(spark)
@@ -76,4 +86,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.prose_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_reasons, p2_found, p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
