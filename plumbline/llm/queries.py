@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import distinctive, encoding, frequency, handwritten, mixing, secrets, sentences, splitting, terms
+from plumbline.llm import distinctive, encoding, frequency, handwritten, mixing, secrets, sentences, splitting, syntax, terms
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir, ship, table
 
@@ -33,6 +33,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.dominated(p3_scores(spark, sf_dir))
 
 
+def p4_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return syntax.parse_files(table(spark, sf_dir, "files"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.broken(p4_parsed(spark, sf_dir))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(p4_parsed(spark, sf_dir))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return splitting.split_regions(table(spark, sf_dir, "regions"), table(spark, sf_dir, "files"), table(spark, sf_dir, "parse_limits"))
@@ -86,4 +99,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.prose_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_reasons, p2_found, p3_scores, p3_found, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_reasons, p2_found, p3_scores, p3_found, p4_parsed, p4_found, p4_rates, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
