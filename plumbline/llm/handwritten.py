@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -182,11 +183,12 @@ def merkle_nodes(leaves_of_files: DataFrame) -> DataFrame:
 
     Input: (repo, path, digest, lines) of files. A directory's digest is an order-free sum of hashes of its children's
     names and digests, so it is built with map-side combining and no directory's children are gathered. Level by level,
-    as many as the deepest path has; every level has fewer rows.
+    as many as the deepest path has; every level has fewer rows and is written to the shared folder, so that plans stay
+    as short as one level.
     """
     files = leaves_of_files.select("repo", "path", "digest", "lines", (F.size(F.split("path", "/")) - 1).alias("depth"))
     depth = files.select(F.max("depth")).first()[0] or 0
-    nodes = files
+    levels = [files]
     level = files.where(F.col("depth") == depth)
     for d in range(depth, 0, -1):
         parent = F.regexp_replace("path", "/?[^/]*$", "")
@@ -196,10 +198,10 @@ def merkle_nodes(leaves_of_files: DataFrame) -> DataFrame:
         up = level.groupBy("repo", parent.alias("path")).agg(
             F.sum(F.shiftright(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines")
         )
-        up = up.select("repo", "path", F.xxhash64("a", "b", "n").alias("digest"), "lines", F.lit(d - 1).alias("depth"))
-        nodes = nodes.unionByName(up)
+        up = up.select("repo", "path", F.xxhash64("a", "b", "n").alias("digest"), "lines", F.lit(d - 1).alias("depth")).checkpoint()
+        levels.append(up)
         level = files.where(F.col("depth") == d - 1).unionByName(up)
-    return nodes.where("path <> ''").select("repo", "path", "digest", "lines")
+    return reduce(DataFrame.unionByName, levels).where("path <> ''").select("repo", "path", "digest", "lines")
 
 
 #: A copy with local changes: at least this share of a file's lines lies in blocks that unrelated repositories have, too.
@@ -242,7 +244,8 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     known = upstream.select(F.lower("sha256").alias("sha")).dropna().distinct()
     listed = judged.join(known, "sha", "left_semi").select("file_id")
 
-    trees = merkle_nodes(judged.where("lines > 0").groupBy("repo", "path").agg(F.max("digest").alias("digest"), F.max("lines").alias("lines")))
+    contents = judged.where("lines > 0").groupBy("repo", "path").agg(F.max("digest").alias("digest"), F.max("lines").alias("lines")).checkpoint()
+    trees = merkle_nodes(contents)
     trees = trees.where(F.col("lines") >= LEAST_LINES)
     twice = trees.groupBy("digest").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("digest", "n")
     shared = join_split_hot(trees, twice, "digest", F.col("n"), max(1, trees.count())).select("repo", "path").distinct()
