@@ -165,9 +165,9 @@ def _raw_spans(text: str) -> Iterator[tuple[int, int]]:
 
 # --- Encoded layers -----------------------------------------------------------------------------------------------------
 
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{2}){16,}(?![A-Za-z0-9])")
-_PERCENT = re.compile(r"[A-Za-z0-9._~+-]*(?:%[0-9a-fA-F]{2}[A-Za-z0-9._~+-]*){3,}")
+_PERCENT = re.compile(r"(?<![A-Za-z0-9._~+-])[A-Za-z0-9._~+-]*+(?:%[0-9a-fA-F]{2}[A-Za-z0-9._~+-]*){3,}")
 _ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){4,}")
 
 
