@@ -93,7 +93,7 @@ mkey : '*' | key ;
 key : word | STR | NUM | '[' a ']' ;
 word : id | KW ;
 e : a (',' a)* ;
-a : unary tail | 'yield' '*'? a? | 'async'? id '=>' arrow | 'async'? parens RETURNS '=>' arrow ;
+a : unary tail | 'yield' '*'? a? | 'async'? id '=>' arrow | 'async'? GENERIC parens RETURNS '=>' arrow ;
 arrow : block | a ;
 tail : (binop unary)* ('?' a ':' a)? (assign a)? ;
 unary : ('!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await')* lhs ('++' | '--')? ;
@@ -121,7 +121,7 @@ _TS = {
     "KMOD": "'abstract'?",
     "IMPLEMENTS": "('implements' type (',' type)*)?",
     "BODYLESS": "end",
-    "POSTS": "'!' | 'as' type | 'satisfies' type | '[' ']'",
+    "POSTS": "targs args | '!' | 'as' type | 'satisfies' type | '[' ']'",
     "EMPTY": "'(' ')' | '<' type '>' unary",
     "DECO": "('@' lhs NL?)* ('public' | 'private' | 'protected' | 'readonly' | 'override')*",
     "TSID": "| 'type' | 'declare' | 'abstract' | 'namespace' | 'module' | 'implements' | 'satisfies' | 'interface' | 'is' | 'keyof' | 'infer' | 'readonly' | 'public' | 'private' | 'protected' | 'override' | 'asserts' | 'global' | 'unique'",
@@ -309,7 +309,7 @@ asm : ASM '(' tts ')' ;
 tts : tt* ;
 tt : '(' tts ')' | '[' tts ']' | '{' tts '}' | ANY ;
 attr : '[' '[' tts ']' ']' | ATTR ('(' tts ')')? ;
-decl : spec+ (';' | dtor1 (';' | '=' init (',' dinit)* ';' | (',' dinit)+ ';' | FBODY)) | spec* fdtor (';' | FBODY) ;
+decl : spec+ (';' | dtor1 (';' | '=' init (',' dinit)* ';' | (',' dinit)+ ';')) | spec* fdtor (';' | FBODY) ;
 dinit : dtor1 ('=' init)? ;
 spec : 'typedef' | 'extern' | 'static' | 'inline' | 'register' | 'auto' | const | prim | attr | tag | tname CPPSPEC ;
 const : 'const' | 'volatile' | 'restrict' ;
@@ -320,7 +320,7 @@ member : ';' | attr* spec+ (';' | mdtor (',' mdtor)* ';') ;
 mdtor : dtor1 (':' cond)? ('=' init)? | ':' cond ;
 ptr : '*' const* | '&' | '&&' PTRMORE ;
 dtor1 : ptr* attr* (tname | '(' dtor1 ')') (suffix | '(' params ')' fmods)* CPPINIT ;
-fdtor : ptr* FNAME '(' params ')' fmods ;
+fdtor : ptr* attr* (FNAME | '(' ptr+ dtor1 ')') '(' params ')' fmods ;
 suffix : '[' 'static'? const* cond? ']' ;
 params : (param (',' param)*)? (','? '...')? ;
 param : attr* spec+ adtor? ('=' init)? ;
@@ -554,7 +554,7 @@ def _js_tokens(text: str, language: str) -> Tokens:
                 kind = "IDENT" if prev in (".", "?.") else t if t in words or t in soft else "IDENT"
             else:
                 kind = {"num": "NUM", "str": "STR", "op": t, "err": "ERR"}[group]
-        if broke and prev in _ENDS and (kind not in _GOES_ON or kind in ("as", "from") and prev == "}"):
+        if broke and (prev in _ENDS or prev == "void" and language == "typescript") and (kind not in _GOES_ON or kind in ("as", "from") and prev == "}"):
             out.append(("NL", i))
         broke = False
         out.append((kind, i))

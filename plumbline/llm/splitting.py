@@ -98,7 +98,7 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
     bounds = rows.groupBy("file_id").agg(F.collect_set("start_line").alias("starts"), F.collect_set("end_line").alias("ends"))
     n = F.length("profile")
     sized = rows.join(lines, "file_id").withColumn("first", F.least("start_line", n)).withColumn("last", F.least("end_line", n))
-    over = sized.where((F.col("first") >= 1) & (F.col("last") - F.col("first") + 1 > F.col("l.max_chunk_lines")))
+    over = sized.where((n >= 1) & (F.col("first") >= 1) & (F.col("last") - F.col("first") + 1 > F.col("l.max_chunk_lines")))
 
     @F.arrow_udf("array<struct<start_line:int,end_line:int>>")
     def pieces(first: pa.Array, last: pa.Array, limit: pa.Array, overlap: pa.Array, prof: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
