@@ -78,15 +78,16 @@ def morph_variants(term: Column) -> Column:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def exact_terms(text: pa.Array) -> pa.Array:
     """Terms by NFKC and full case folding, which Spark lacks: words, their parts and CJK grams, first seen first."""
-    word, part = re.compile(r"[^\W_]+(?:_[^\W_]+)*"), re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
+    word = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
     stop = set(STOP_WORDS)
     out = []
     for t in text.to_pylist():
         seen: dict[str, None] = {}
         for w in word.findall(unicodedata.normalize("NFKC", t or "")):
-            for x in (w, *[p for piece in w.split("_") for p in part.findall(piece)]):
+            apart = re.sub("([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub("([a-z0-9])([A-Z])", r"\1_\2", w))
+            for x in (w, *apart.split("_")):
                 folded = unicodedata.normalize("NFKC", x).casefold()[:LONGEST_TERM]
-                if folded not in stop:
+                if folded and folded not in stop:
                     seen.setdefault(folded)
         out.append(list(seen))
     return pa.array(out, pa.list_(pa.string()))
