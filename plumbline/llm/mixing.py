@@ -63,27 +63,34 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 7, total_token
     bars = rows.groupBy("source", "k").agg(F.sum("n_tokens").alias("tokens"), F.avg("n_tokens").alias("mean")).join(sources.select("source", "rest"), "source")
 
     def solve(bars: pd.DataFrame) -> pd.DataFrame:
-        return bars[["source", "k"]].assign(p=solved_inclusion(float(bars["rest"].iloc[0]), bars["tokens"], bars["mean"]))
+        rest = float(bars["rest"].iloc[0])
+        p = solved_inclusion(rest, bars["tokens"], bars["mean"]) if rest > 0 else bars["mean"] * 0.0
+        return bars[["source", "k"]].assign(p=p, left=rest - bars["tokens"][p >= 1].sum())
 
-    # At most 16 * 63 rows of a source meet here, whatever the number of texts.
-    chance = bars.groupBy("source").applyInPandas(solve, "source string, k int, p double")
+    # At most 16 * 63 rows of a source meet here, whatever the number of texts. Texts that are certain (p = 1) need no order.
+    chance = bars.groupBy("source").applyInPandas(solve, "source string, k int, p double, left double").checkpoint()
+    left = chance.groupBy("source").agg(F.max("left").alias("left"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "text_key"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    odds = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(u / (1 - u) / (F.col("p") / (1 - F.col("p"))))
-    ranked = rows.join(chance, ["source", "k"]).withColumn("rank", F.when(F.col("p") <= 0, F.lit(1.0)).otherwise(odds / (1 + odds)))
+    odds = u / (1 - u) / (F.col("p") / (1 - F.col("p")))
+    drawable = rows.join(chance.select("source", "k", "p"), ["source", "k"])
+    ranked = drawable.where("p > 0 AND p < 1").withColumn("rank", odds / (1 + odds))
     ranked = ranked.withColumn("g", F.least(F.floor(F.col("rank") * RANK_CLASSES), F.lit(RANK_CLASSES - 1)).cast("int"))
 
     classes = ranked.groupBy("source", "g").agg(F.sum("n_tokens").alias("t"))
     upto = Window.partitionBy("source").orderBy("g")  # at most 65536 rows of a source
-    cum = classes.withColumn("before", F.sum("t").over(upto) - F.col("t")).join(sources.select("source", "rest"), "source")
-    edge = cum.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))).select("source", F.col("g").alias("edge"), "before")
-    marked = ranked.join(sources.select("source", "whole", "rest"), "source").join(edge, "source", "left")
+    cum = classes.withColumn("before", F.sum("t").over(upto) - F.col("t")).join(left, "source")
+    edge = cum.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("t") >= F.col("left"))).select("source", F.col("g").alias("edge"), "before")
+    marked = ranked.join(left, "source").join(edge, "source", "left")
     within = Window.partitionBy("source", "g").orderBy("rank", "text_key")
     on_edge = marked.where("g = edge").withColumn("done", F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens"))
-    on_edge = on_edge.withColumn("drawn", (F.col("done") + F.col("n_tokens") / 2 <= F.col("rest")).cast("long"))
-    others = marked.where("edge IS NULL OR g <> edge").withColumn("drawn", F.coalesce((F.col("g") < F.col("edge")).cast("long"), F.lit(0).cast("long")))
-    keep = ["source", "doc_id", "n_tokens", "whole", "drawn"]
+    on_edge = on_edge.withColumn("drawn", (F.col("done") + F.col("n_tokens") / 2 <= F.col("left")).cast("long"))
+    # Without an edge the ranked texts of a source fall short of what is left, so all are drawn, or nothing is left.
+    others = marked.where("edge IS NULL OR g <> edge").withColumn("drawn", F.coalesce(F.col("g") < F.col("edge"), F.col("left") > 0).cast("long"))
+    settled = drawable.where("p <= 0 OR p >= 1").withColumn("drawn", (F.col("p") >= 1).cast("long"))
+    keep = ["source", "doc_id", "n_tokens", "drawn"]
+    drawn = on_edge.select(*keep).unionByName(others.select(*keep)).unionByName(settled.select(*keep)).join(sources.select("source", "whole"), "source")
     copies = F.col("whole") + F.col("drawn")
-    return on_edge.select(*keep).unionByName(others.select(*keep)).select("source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0")
+    return drawn.select("source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def reached_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
     or, if null or unknown, what the file's suffix means. Regions with a null bound, start below 1, end below start,
     without limit, without file or with a file without text give nothing; a bound past the last line becomes the last
     line. Cuts prefer bounds of other regions of the file, then blank lines, then little indentation. Repeated rows
-    count once. Only penalties, one byte a line, travel: texts are read where they lie.
+    count once. Only penalties, one byte a line, travel: texts are read where they lie. Regions of one hot file are spread
+    by Spark's skew handling; a file's own lines bound what is gathered for it.
     """
 
     @F.arrow_udf("binary")
@@ -85,35 +86,45 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
         return pa.array([None if t is None else cut_profile(t) for t in text.to_pylist()], pa.binary())
 
     lines = files.select("file_id", profile("text").alias("profile")).groupBy("file_id").agg(F.max("profile").alias("profile"))
-    rows = (
+    usable = (
         regions.select("region_id", "file_id", "repo", language_of(F.col("language"), F.col("file_path")).alias("language"), "start_line", "end_line")
         .where("start_line >= 1 AND end_line >= start_line")
         .dropDuplicates(["region_id"])
     )
     general = limits.where("repo IS NULL").groupBy("language").agg(F.max_by(F.struct("max_chunk_lines", "overlap_lines"), "max_chunk_lines").alias("g"))
     special = limits.where("repo IS NOT NULL").groupBy("language", "repo").agg(F.max_by(F.struct("max_chunk_lines", "overlap_lines"), "max_chunk_lines").alias("s"))
-    rows = rows.join(general, "language", "left").join(special, ["language", "repo"], "left")
+    rows = usable.join(general, "language", "left").join(special, ["language", "repo"], "left")
     rows = rows.withColumn("l", F.coalesce("s", "g")).where("l.max_chunk_lines IS NOT NULL")
-    # Bounds of a file's regions: at most as many as it has lines, so neither set outgrows the file.
-    bounds = rows.groupBy("file_id").agg(F.collect_set("start_line").alias("starts"), F.collect_set("end_line").alias("ends"))
+    # Bounds of a file's regions: at most as many as it has lines, so neither set outgrows the file. They lower the prices
+    # once for each file; a region then takes its part of them, and nothing as long as a file is repeated for each region.
+    bounds = usable.groupBy("file_id").agg(F.collect_set("start_line").alias("starts"), F.collect_set("end_line").alias("ends"))
+
+    @F.arrow_udf("binary")
+    def priced(prof: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for p, ss, es in zip(prof.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            price = np.frombuffer(p, np.uint8).copy()
+            at = np.array([s - 2 for s in ss] + [e - 1 for e in es], np.int64)
+            at = at[(at >= 0) & (at < len(price))]
+            price[at] = np.minimum(price[at], BOUND + price[at] % LEVEL)
+            out.append(price.tobytes())
+        return pa.array(out, pa.binary())
+
+    prices = lines.where("profile IS NOT NULL").join(bounds, "file_id").select("file_id", priced("profile", "starts", "ends").alias("profile"))
     n = F.length("profile")
-    sized = rows.join(lines, "file_id").withColumn("first", F.least("start_line", n)).withColumn("last", F.least("end_line", n))
-    over = sized.where((n >= 1) & (F.col("first") >= 1) & (F.col("last") - F.col("first") + 1 > F.col("l.max_chunk_lines")))
+    sized = rows.join(prices, "file_id").withColumn("first", F.least("start_line", n)).withColumn("last", F.least("end_line", n))
+    over = sized.where((n >= 1) & (F.col("last") - F.col("first") + 1 > F.col("l.max_chunk_lines")))
+    part = over.select("region_id", "first", "last", "l", F.substring("profile", F.col("first"), F.col("last") - F.col("first") + 1).alias("price"))
 
     @F.arrow_udf("array<struct<start_line:int,end_line:int>>")
-    def pieces(first: pa.Array, last: pa.Array, limit: pa.Array, overlap: pa.Array, prof: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    def pieces(first: pa.Array, last: pa.Array, limit: pa.Array, overlap: pa.Array, price: pa.Array) -> pa.Array:
         out = []
-        for a, b, lim, lap, p, ss, es in zip(*(x.to_pylist() for x in (first, last, limit, overlap, prof, starts, ends))):
-            price = np.frombuffer(p, np.uint8)[a - 1 : b].astype(float)
-            at = np.array([s - 2 for s in ss] + [e - 1 for e in es]) - (a - 1)
-            at = at[(at >= 0) & (at < b - a)]
-            price[at] = np.minimum(price[at], BOUND + (price[at] % LEVEL))
-            out.append([{"start_line": s, "end_line": e} for s, e in split_lines(a, b, lim, lap or 0, price)])
+        for a, b, lim, lap, p in zip(*(x.to_pylist() for x in (first, last, limit, overlap, price))):
+            found = split_lines(a, b, lim, lap or 0, np.frombuffer(p, np.uint8).astype(float))
+            out.append([{"start_line": s, "end_line": e} for s, e in found])
         return pa.array(out, pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32())])))
 
-    cut = over.join(bounds, "file_id").select(
-        "region_id", pieces("first", "last", "l.max_chunk_lines", "l.overlap_lines", "profile", "starts", "ends").alias("p")
-    )
+    cut = part.select("region_id", pieces("first", "last", "l.max_chunk_lines", "l.overlap_lines", "price").alias("p"))
     return cut.select("region_id", F.size("p").alias("n_pieces"), F.posexplode("p").alias("pos", "x")).select(
         "region_id", (F.col("pos") + 1).alias("piece_no"), "x.start_line", "x.end_line", "n_pieces"
     )
