@@ -97,7 +97,7 @@ def table_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT repo, path FROM f WHERE provenance = 'source' AND NOT stale")
 def fresh_files(spark: SparkSession, d: str) -> DataFrame:
-    return facts.fresh(_files(spark, d)).select("repo", "path")
+    return facts.clean_files(facts.fresh(table(spark, d, "files"))).select("repo", "path")
 
 
 # Filters ---------------------------------------------------------------------------------------------------------------------
@@ -441,7 +441,7 @@ def citation_containment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS}, {_FILES}, {_BM_W} SELECT qid, chunk_id FROM {_RES} JOIN c USING (chunk_id) WHERE rank <= 5 AND NOT EXISTS (SELECT 1 FROM f WHERE f.repo = c.repo AND f.path = c.file_path AND f.provenance = 'source' AND NOT f.stale)")
 def forbidden_hits(spark: SparkSession, d: str) -> DataFrame:
-    good = facts.fresh(_files(spark, d)).select("repo", F.col("path").alias("file_path"))
+    good = facts.clean_files(facts.fresh(table(spark, d, "files"))).select("repo", F.col("path").alias("file_path"))
     hits = _ranked(spark, d)[0].join(_chunks(spark, d).select("chunk_id", "repo", "file_path"), "chunk_id")
     return hits.join(good, ["repo", "file_path"], "left_anti").select("qid", "chunk_id")
 

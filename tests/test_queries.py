@@ -61,7 +61,8 @@ def plan(df):
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
     p = plan(QUERIES["fresh_files"](spark, sf))
-    assert "EqualTo(provenance,source)" in p or "PushedFilters" in p
+    assert "EqualTo(provenance,source)" in p and "Not(EqualTo(stale,true))" in p
+    assert "text" not in p.split("ReadSchema")[1].split("\n")[0]
     assert "text" not in plan(QUERIES["default_ignored_paths"](spark, sf)).split("ReadSchema")[1].split("\n")[0]
 
 
