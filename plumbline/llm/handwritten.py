@@ -57,6 +57,8 @@ _TOKEN = re.compile(r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:[^
 HEAD = 25
 #: Data: at least so many literals, at least this share of literals among literals and names.
 LITERALS, LITERAL_SHARE = 24, 0.85
+#: Or at least so many characters of literals that are no prose, and this share of all characters.
+BLOB, BLOB_SHARE = 400, 0.85
 CODE_SUFFIXES = re.compile(r"(?i)\.(?:py|pyi|js|jsx|mjs|cjs|ts|tsx|mts|cts|go|rs|java|c|h|cc|cpp|cxx|hpp|hh|hxx|ipp)$")
 SCRIPT_SUFFIXES = re.compile(r"(?i)\.(?:js|jsx|mjs|cjs|ts|mts|css)$")
 
@@ -123,16 +125,15 @@ def looks_like_data(text: str) -> bool:
         whole += len(t)
         if t[0] in "\"'":
             literals += 1
-            size += len(t)
+            if sum(map(str.isspace, t)) <= 0.08 * len(t):  # else it is prose, such as a docstring
+                size += len(t)
         elif t[0].isdigit():
             literals += 1
             size += len(t)
         elif t[0].isalpha() or t[0] == "_":
             names += 1
-    if not literals:
-        return False
     many = literals >= LITERALS and literals >= LITERAL_SHARE * (literals + names)
-    return many or size > 2000 and size > 0.9 * whole and literals >= 2 * names
+    return many or size >= BLOB and size >= BLOB_SHARE * whole
 
 
 def leaves(text: str) -> Iterator[tuple[int, int]]:

@@ -27,7 +27,7 @@ def test_talk_about_generation_is_none(text):
     "path, text, want",
     [
         ("a/package-lock.json", "{}", "generated"), ("a/go.sum", "x", "generated"), ("a/x_pb2.py", "x = 1", "generated"), ("vendor/x/a.go", "package a", "vendored"), ("a/node_modules/b.js", "x", "vendored"),
-        ("a/t.py", "T = [\n" + "1, 2, 3,\n" * 40 + "]\n", "data"), ("a/t.py", "x = 1\n", None), ("a/vendor.py", CODE, None), ("a/b.py", "", None),
+        ("a/t.py", "T = [\n" + "1, 2, 3,\n" * 40 + "]\n", "data"), ("a/t.py", "x = 1\n", None), ("a/t.js", 'module.exports = "' + "aB3/" * 200 + '";\n', "data"), ("a/t.py", '"""' + "Some words about it. " * 60 + '"""\n', None), ("a/vendor.py", CODE, None), ("a/b.py", "", None),
         ("a/x.js", "!function(){" + "var a=b.c(d);e(f,g);function h(i){return i?j(k):l}" * 20 + "}();", "minified"), ("a/x.md", "| 1 | 2 |\n" * 50, None),
     ],
 )
