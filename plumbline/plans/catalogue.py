@@ -386,6 +386,7 @@ hy AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    shared_dir(spark)
     c, f = _chunks(spark, d), _files(spark, d)
     qs = retrieval.questions(c)
     return retrieval.hybrid(qs, c, f, _symbols(spark, d), facts.dependencies(f)), qs

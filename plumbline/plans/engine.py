@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.operators import graph, retrieval
 from plumbline.plans.store import FactStore, StaleScan, StoreError, Update
+from plumbline.session import shared_dir
 from plumbline.sources.tree import read_tree
 
 MODES = ("auto", "always", "never", "rebuild")
@@ -71,6 +72,7 @@ class Engine:
             raise ValueError("1 to 20 results for a question of at most 4000 characters")
         if not re.search(r"\w", question):
             return []
+        shared_dir(self.spark)
         generation, v = self._views()
         words = question.split()
         asked = next((w.strip("`?.,!\"'") for w in words if re.search(r"_|[a-z][A-Z]", w)), question)
