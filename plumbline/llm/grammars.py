@@ -11,7 +11,9 @@ from plumbline.llm.derivatives import Grammar
 
 # --- Tokens -------------------------------------------------------------------------------------------------------------
 
-_C_NUMBER = r"0[xX][0-9a-fA-F_'.]+(?:[pP][+-]?\d+)?[uUlLfFzn]*\w*|0[bB][01_']+\w*|0[oO][0-7_]+\w*|(?:\d[\d_']*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[a-zA-Z]\w*|(?:\d[\d_']*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?"
+_DIGITS = r"0[xX][0-9a-fA-F_'.]++(?:[pP][+-]?\d++)?\w*+|0[bB][01_']++\w*+|0[oO][0-7_]++\w*+"
+_C_NUMBER = _DIGITS + r"|(?:\d[\d_']*+(?:\.(?!\.)[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?(?:[a-zA-Z]\w*+)?"
+_RUST_NUMBER = _DIGITS + r"|\d[\d_]*+(?:\.\d[\d_]*+|\.(?![.\w]))?(?:[eE][+-]?\d[\d_]*+)?(?:[a-zA-Z]\w*+)?"
 _WORD = r"[^\W\d]\w*"
 
 
@@ -33,6 +35,7 @@ _LEX = {
         _COMMON + " -> => :: .. ... ..= @ # $ <<",
         r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/",
         rf"r\#{_WORD}|{_WORD}",
+        _RUST_NUMBER,
     ),
     "c": _lexer(rf'(?:u8|[uUL])?R"(?P<d>[^\s()\\]{{0,16}})\([\s\S]*?\)(?P=d)"|(?:u8|[uUL])?(?:{_DQ}|{_SQ})', _COMMON + " -> :: ... ## # << <=> ->* .* @", _SLASHES),
     "json": re.compile(r'(?P<ws>[ \t\r\n]+)|(?P<str>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.+-])|(?P<word>true|false|null)(?!\w)|(?P<op>[{}\[\],:])|(?P<err>[\s\S])', re.A),
@@ -497,33 +500,34 @@ _TS_SOFT = frozenset("type declare abstract namespace module implements satisfie
 
 def _template_end(text: str, i: int) -> int:
     """The position after a template literal that starts at i, with its nested parts; -1 if it does not end."""
-    i += 1
     n = len(text)
+    nest = [-1]  # for each open part: braces open in code, or -1 within the text of a template
+    i += 1
     while i < n:
         c = text[i]
-        if c == "\\":
-            i += 2
-        elif c == "`":
-            return i + 1
-        elif c == "$" and text.startswith("${", i):
-            depth, i = 1, i + 2
-            while i < n and depth:
-                c = text[i]
-                if c == "`":
-                    i = _template_end(text, i)
-                    if i < 0:
-                        return -1
-                    continue
-                if c in "\"'":
-                    j = i + 1
-                    while j < n and text[j] != c and text[j] != "\n":
-                        j += 2 if text[j] == "\\" else 1
-                    i = j + 1
-                    continue
-                depth += (c == "{") - (c == "}")
+        if nest[-1] < 0:
+            if c == "\\":
                 i += 1
-        else:
+            elif c == "`":
+                nest.pop()
+                if not nest:
+                    return i + 1
+            elif c == "$" and text.startswith("${", i):
+                nest.append(0)
+                i += 1
+        elif c == "`":
+            nest.append(-1)
+        elif c in "\"'":
             i += 1
+            while i < n and text[i] != c and text[i] != "\n":
+                i += 2 if text[i] == "\\" else 1
+        elif c == "{":
+            nest[-1] += 1
+        elif c == "}":
+            nest[-1] -= 1
+            if nest[-1] < 0:
+                nest.pop()
+        i += 1
     return -1
 
 

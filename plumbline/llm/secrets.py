@@ -51,7 +51,7 @@ _PAIR = re.compile(rf"""(?im)\bname["']?\s*[:=]\s*["']?(?P<name>{_NAME})["']?\s*
 _OPTION = re.compile(r"""(?<![\w-])--?(?P<name>[A-Za-z][\w-]*)(?:[ \t]+|=)(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<value>[^\s"'-][^\s"']*))""")
 _DOCKER = re.compile(rf"""(?im)^[ \t#/*]*(?:ENV|ARG|SET|SETENV|EXPORT)[ \t]+(?P<name>{_NAME})[ \t]+(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<value>[^\s"'=][^\s"']*))""")
 _NETRC = re.compile(r"""(?i)\blogin[ \t]+\S+[ \t\n]+password[ \t]+(?P<value>\S+)""")
-_PROSE = re.compile(r"""(?i)(?:/|:|=|,|\bis)[ \t]*["'`]?(?P<value>[^\s"'`/()]+)["'`]?[ \t]*\((?:the )?(?:password|passphrase|token|secret|api key)\)""")
+_PROSE = re.compile(r"""(?i)(?:/|:|=|,|\bis)[ \t]*["'`]?(?P<value>[^\s"'`/()]{3,200})["'`]?[ \t]*\((?:the )?(?:password|passphrase|token|secret|api key)\)""")
 _SAID = re.compile(r"""(?i)\b(?:password|passphrase|passcode)\b[ \t]+(?:is|was|=)[ \t]+["'`]?(?P<value>[^\s"'`]+)""")
 
 _SECRET_NAME = re.compile(
