@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,11 +41,13 @@ def manifest(files: DataFrame, chunks: DataFrame, regions: DataFrame) -> DataFra
 
 
 def totals(files: DataFrame, chunks: DataFrame, regions: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row of table totals; each input is one aggregate, none is gathered."""
-    one = files.dropDuplicates(["file_id"]).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
+    """One row of table totals: one aggregate for each input, laid under each other and then side by side."""
+    f = files.dropDuplicates(["file_id"])
+    parts = [f.agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("n_files")), f.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("v")).withColumn("k", F.lit("total_bytes"))]
     for df, name, keys in ((chunks, "n_chunks", ["chunk_id"]), (regions, "n_regions", ["region_id"]), (terms, "n_pairs", ["term", "chunk_id"])):
-        one = one.join(F.broadcast(df.select(*keys).distinct().agg(F.count(F.lit(1)).alias(name))))
-    return one
+        parts.append(df.select(*keys).distinct().agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit(name)))
+    names = ["n_files", "total_bytes", "n_chunks", "n_regions", "n_pairs"]
+    return reduce(DataFrame.unionByName, parts).agg(*[F.max(F.when(F.col("k") == n, F.col("v"))).alias(n) for n in names])
 
 
 def line_rows(files: DataFrame, *keep: str) -> DataFrame:
