@@ -32,10 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in its absence (tests, one machine) one beside the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plumbline-shared"
-        spark.sparkContext.setCheckpointDir(found)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return found or known.get()
+    found = found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plumbline-shared"
+    spark.sparkContext.setCheckpointDir(found)
     return found
