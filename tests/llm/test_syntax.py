@@ -127,3 +127,16 @@ def test_files(spark):
     assert [r.file_id for r in broken(parsed).collect()] == [1]
     assert sorted(tuple(r) for r in rates(parsed).collect()) == [("q", "rust", 1, 0, 0.0), ("r", "json", 1, 0, 0.0), ("r", "python", 2, 1, 0.5)]
     assert parse_files(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "language, text, state",
+    [("javascript", "1" * 200_000, "ok"), ("javascript", "x = " + "`${" * 30_000, "token"), ("rust", "fn f() { x.0.1 + " + "1_" * 50_000 + "1 }", "ok"), ("c", "int a[] = {" + "0xff, " * 60_000 + "};", "ok"), ("go", "package a\nvar x = " + "(" * 50_000, "end"), ("json", "[" * 60_000 + "]" * 60_000, "ok"), ("python", "x = [\n" + "1,\n" * 60_000 + "]\n", "ok")],
+)
+def test_very_long_texts(language, text, state):
+    assert check(language, text)[0] == state
+
+
+def test_templates_nest():
+    assert check("javascript", "x = `a ${f(`b ${'}'} ${{a: `c`}}`)} d`;")[0] == "ok"
+    assert check("javascript", "x = `a ${f(`b`)} ")[0] == "token"
