@@ -139,39 +139,64 @@ class Grammar:
         return out
 
     def parse(self, tokens: Iterable[int]) -> tuple[str, int]:
-        """("ok", n), ("token", i) where the derivative by token i is empty, or ("end", n) where more must follow."""
+        """("ok", n), ("token", i) where the derivative by token i is empty, or ("end", n) where more must follow.
+
+        Stacks that differ only below what a token put on them are one: a cell is a node with all cells that may lie below
+        it, so ambiguous texts do not multiply their stacks.
+        """
         memo, derive = self.memo, self.derive
-        table: dict[tuple[int, int], tuple] = {}
-        stacks: list[tuple] = [(self.start, ())]
+        end: tuple[int, list] = (-1, [])  # below the last cell of every stack
+        tops: list[tuple[int, list]] = [(self.start, [end])]
         i = -1
         for i, token in enumerate(tokens):
-            after: list[tuple] = []
-            for cell in stacks:
-                while cell:
-                    node, rest = cell
+            groups: dict[tuple[int, ...], list] = {}
+            todo = tops
+            seen: set[int] | None = None
+            while todo:
+                below: list = []
+                for cell in todo:
+                    node, rests = cell
+                    if node < 0:
+                        continue
                     got = memo.get(node << 10 | token)
                     if got is None:
                         got = derive(node, token)
                     for seq in got[0]:
-                        new = rest
-                        for x in seq[::-1]:
-                            key = (x, id(new))
-                            made = table.get(key)
-                            if made is None:
-                                made = table[key] = (x, new)
-                            new = made
-                        after.append(new)
-                    if not got[1]:
-                        break
-                    cell = rest
-            if len(after) > 1:
-                after = list({id(c): c for c in after}.values())
-            elif not after:
+                        if seq in groups:
+                            groups[seq] = [*groups[seq], *rests]
+                        else:
+                            groups[seq] = rests
+                    if got[1]:
+                        below += rests
+                if len(below) > 1 or seen is not None:
+                    seen = seen if seen is not None else set()
+                    fresh = []
+                    for cell in below:
+                        if id(cell) not in seen:
+                            seen.add(id(cell))
+                            fresh.append(cell)
+                    below = fresh
+                todo = below
+            if not groups:
                 return "token", i
-            stacks = after
-        for cell in stacks:
-            while cell and self._is_null(cell[0]):
-                cell = cell[1]
-            if not cell:
-                return "ok", i + 1
+            tops = []
+            for seq, rests in groups.items():
+                if len(rests) > 1:
+                    rests = list({id(c): c for c in rests}.values())
+                if not seq:
+                    tops += rests
+                    continue
+                for x in seq[:0:-1]:
+                    rests = [(x, rests)]
+                tops.append((seq[0], rests))
+        todo, seen = tops, set()
+        while todo:
+            below = []
+            for cell in todo:
+                if cell[0] < 0:
+                    return "ok", i + 1
+                if id(cell) not in seen and self._is_null(cell[0]):
+                    seen.add(id(cell))
+                    below += cell[1]
+            todo = below
         return "end", i + 1
