@@ -30,7 +30,8 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.dominated(p3_scores(spark, sf_dir))
+    # The conditions are exact counts, so a plan of scores and conditions in one would leave the scores out: they are written first.
+    return distinctive.dominated(p3_scores(spark, sf_dir).checkpoint())
 
 
 def p4_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

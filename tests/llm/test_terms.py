@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import distinctive, frequency, terms
+from plumbline.llm import distinctive, frequency, queries, terms
 from plumbline.llm.frequency import PARTS, RadixAggregator
 
 SCHEMA = "term string, chunk_id long, n_occ int, repo string, extra string"
@@ -92,3 +92,16 @@ def test_dominated_terms_match_brute_force(spark):
     assert {(r.chunk_id, r.term) for r in distinctive.dominated(scored).collect()} == want
     assert scored.where((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull()).count() == 0
     assert scored.count() == len(tf)
+
+
+def test_found_terms_come_from_scored_rows(spark, sf, monkeypatch):
+    def score_terms(counted, records):
+        broken = F.udf(lambda t: 1 / 0, "double")
+        return distinctive_score(counted, records).withColumn("score", F.col("score") + broken("term"))
+
+    distinctive_score = distinctive.score_terms
+    want = {tuple(r) for r in queries.p3_found(spark, sf).collect()}
+    assert want == {tuple(r) for r in distinctive.dominated(queries.p3_scores(spark, sf)).collect()}
+    monkeypatch.setattr(distinctive, "score_terms", score_terms)
+    with pytest.raises(Exception, match="division by zero"):
+        queries.p3_found(spark, sf).collect()
