@@ -105,3 +105,21 @@ def test_found_terms_come_from_scored_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(distinctive, "score_terms", score_terms)
     with pytest.raises(Exception, match="division by zero"):
         queries.p3_found(spark, sf).collect()
+
+
+def test_the_fit_goes_on_until_it_has_converged():
+    def likelihood(fit, values, counts, records):
+        share, elite, base = fit
+        rate = lambda k: np.log(share * np.exp(-elite) * elite**k + (1 - share) * np.exp(-base) * base**k)
+        return (counts * rate(values)).sum() + (records - counts.sum()) * rate(0.0)
+
+    cases = [([1, 2, 3], [378, 17, 1]), ([1, 2], [152, 6]), ([1, 2], [52, 1]), ([1], [1]), ([1, 2, 9], [40, 12, 3])]
+    values, counts = np.concatenate([np.array(v, float) for v, _ in cases]), np.concatenate([np.array(c, float) for _, c in cases])
+    owner = np.repeat(np.arange(len(cases)), [len(v) for v, _ in cases])
+    fits = distinctive.fit_two_poisson(values, counts, owner, len(cases), 5484)
+    longer = distinctive.fit_two_poisson(values, counts, owner, len(cases), 5484, 3000)
+    for i, fit in enumerate(fits):
+        v, c = values[owner == i], counts[owner == i]
+        assert likelihood(fit, v, c, 5484) >= likelihood(longer[i], v, c, 5484) - 1e-6
+        alone = distinctive.fit_two_poisson(v, c, np.zeros(len(v), int), 1, 5484)[0]
+        assert np.allclose(fit, alone, rtol=1e-3)  # the other terms of the batch do not matter
