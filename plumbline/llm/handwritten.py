@@ -53,7 +53,7 @@ _COPIED = re.compile(r"(?i)\bimported from release\b|\bvendored (?:from|copy)\b|
 _COMMENT = re.compile(r"^\s*(?://+|/\*+!?|\*+(?!/)|#(?!\s*(?:include|define|if|ifdef|ifndef|pragma|endif|else|import)\b)|<!--|--|;+|%+|\"\"\"|''')")
 _TOKEN = re.compile(r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\#[^\n]*|\d[\w.]*|[^\W\d]\w*|[^\s\w]""")
 
-#: Lines at the head of a file in which comments may tell where it comes from.
+#: Lines at the head of a file in which comments beside code may tell where it comes from, too.
 HEAD = 25
 #: Data: at least so many literals, at least this share of literals among literals and names.
 LITERALS, LITERAL_SHARE = 24, 0.85
@@ -63,14 +63,14 @@ CODE_SUFFIXES = re.compile(r"(?i)\.(?:py|pyi|js|jsx|mjs|cjs|ts|tsx|mts|cts|go|rs
 SCRIPT_SUFFIXES = re.compile(r"(?i)\.(?:js|jsx|mjs|cjs|ts|mts|css)$")
 
 
-def header_says_generated(text: str) -> bool:
-    """Whether a comment at the head of the file says that a tool wrote it; strings and later code do not count."""
+def _head(text: str) -> Iterator[str]:
+    """The comment lines before the first line of code, stripped, however many and long they are; imports and the like may stand between."""
     block = False
-    for line in text.split("\n", HEAD)[:HEAD]:
-        bare = line.strip()
+    for m in re.finditer(r"[^\n]+", text):
+        bare = m[0].strip()
         if not bare:
             continue
-        comment = block or bool(_COMMENT.match(line))
+        comment = block or bool(_COMMENT.match(bare))
         if not comment:
             if re.match(r"(?:package|module|namespace|using|import|from|#|'use strict'|\"use strict\"|<\?)", bare):
                 continue
@@ -79,14 +79,18 @@ def header_says_generated(text: str) -> bool:
             block = True
         elif "*/" in bare:
             block = False
-        if len(bare) < 400 and not _BY_HAND.search(bare) and _BY_TOOL.search(re.sub(r"^(?://+|/\*+!?|\*+|#+|<!--|--|;+|%+)\s*", "", bare)):
-            return True
-    return False
+        yield bare
+
+
+def header_says_generated(text: str) -> bool:
+    """Whether a comment at the head of the file says that a tool wrote it; strings and later code do not count."""
+    return any(not _BY_HAND.search(x) and _BY_TOOL.search(re.sub(r"^(?://+|/\*+!?|\*+|#+|<!--|--|;+|%+)\s*", "", x)) for x in _head(text))
 
 
 def header_says_copied(text: str) -> bool:
-    """Whether a comment at the head says that the file comes from elsewhere."""
-    return any(_COMMENT.match(line) and len(line) < 400 and _COPIED.search(line) for line in text.split("\n", HEAD)[:HEAD])
+    """Whether a comment at the head, or one in the first lines of code, says that the file comes from elsewhere."""
+    near = (x for x in text.split("\n", HEAD)[:HEAD] if _COMMENT.match(x))
+    return any(_COPIED.search(x) for x in near) or any(_COPIED.search(x) for x in _head(text))
 
 
 def numbered_series(text: str) -> bool:

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from plumbline.llm.handwritten import header_says_generated, judge, leaves, looks_minified, merkle_nodes, not_handwritten
+from plumbline.llm.handwritten import header_says_copied, header_says_generated, judge, leaves, looks_minified, merkle_nodes, not_handwritten
 
 CODE = "\n\n".join(f"def step_{w}(a, b):\n    c = a + b\n    log('{w}')\n    if c > 3:\n        return {w}(c)\n    return c" for w in ("alpha", "beta", "gamma", "delta", "eps"))
 
@@ -73,3 +73,15 @@ def test_directory_hashes_do_not_depend_on_place_or_order(spark):
     got = {(r.repo, r.path): (r.digest, r.lines) for r in merkle_nodes(spark.createDataFrame(rows, "repo string, path string, digest long, lines long")).collect()}
     assert got["p", "a/lib"] == got["q", "lib"] != got["q", "o/lib"] and got["p", "a"][1] == 18
     assert json.dumps(sorted(map(list, got))).count("lib/d") == 4
+
+
+def test_headers_are_read_up_to_the_first_code():
+    licence = "".join(f"// Clause {i} of a licence.\n" for i in range(60))
+    block = "/*\n" + "Words of a licence.\n" * 40
+    long = "// " + "words of a licence " * 40
+    for head in (licence + "// ", block, long):
+        assert header_says_generated(head + "Code generated by x. DO NOT EDIT." + " */" * (head == block) + "\nint x;\n")
+    assert header_says_copied(licence + "// Upstream: https://h/x\nint x;\n") and header_says_copied(block + "Upstream: https://h/x\n*/\nint x;\n")
+    assert header_says_copied(long + "vendored from x\nint x;\n") and header_says_copied("int x;\n// vendored from x\n")
+    assert not header_says_generated(licence + "int x;\n// Code generated by x. DO NOT EDIT.\n")
+    assert not header_says_copied(licence + "int x;\n// vendored from x\n")
