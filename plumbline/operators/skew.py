@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 4000
 
 
-def join_split_hot(facts: DataFrame, dims: DataFrame, key: str, weight: Column, total: int, share: float = HOT_SHARE) -> DataFrame:
+def join_split_hot(facts: DataFrame, dims: DataFrame, keys: list[str], weight: Column, total: int, share: float = HOT_SHARE) -> DataFrame:
     """Inner join of many facts with one row per key, without sending a hot key's facts to one task.
 
     ``weight`` (over dims) is the number of facts of the key and ``total`` their sum, so at most 1 / share keys weigh
@@ -19,6 +19,5 @@ def join_split_hot(facts: DataFrame, dims: DataFrame, key: str, weight: Column,
     """
     least = max(2, int(total * share))
     hot = dims.where(weight >= least)
-    mark = hot.select(F.col(key).alias("_hot_key"))
-    rest = facts.join(F.broadcast(mark), F.col(key) == F.col("_hot_key"), "left_anti")
-    return facts.join(F.broadcast(hot), key).unionByName(rest.join(dims.where(weight < least), key))
+    rest = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return facts.join(F.broadcast(hot), keys).unionByName(rest.join(dims.where(weight < least), keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     found = found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plumbline-shared"
     spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def write_out(rows: DataFrame) -> DataFrame:
+    """The rows, written once as a table into the shared folder and read from there: what follows is not computed again, and a
+    lost executor loses nothing. The table goes when the session's JVM ends."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(rows.schema).parquet(path)

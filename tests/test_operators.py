@@ -60,7 +60,7 @@ def test_running_sum_equals_a_window(spark):
 def test_hot_keys_are_joined_whole(spark):
     facts_ = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), "id")
     dims = facts_.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    out = join_split_hot(facts_, dims, "k", F.col("n"), 1000, 0.1)
+    out = join_split_hot(facts_, dims, ["k"], F.col("n"), 1000, 0.1)
     assert out.count() == 1000 and out.where("k = 'hot'").select("n").distinct().collect()[0][0] == 500
 
 
