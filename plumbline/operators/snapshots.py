@@ -50,11 +50,19 @@ def manifest_changes(manifests: DataFrame, snapshots: DataFrame) -> DataFrame:
     Paths are cleaned first; of several deliveries of one path in one snapshot the latest holds (ties: the greatest row).
     Two rows differ if their sha256, ignoring case, differ, or, where one of these is null, if size or mtime differ (null
     equals only null). Null repositories, numbers or paths give nothing. Columns beyond those named are ignored.
+
+    Digests travel as bytes, not as text, until a path's latest delivery is known, and as a hash of 64 bits from then on:
+    it is compared with that of one other row only, so a change is missed once in 2^64.
     """
     rows = manifests.select(
-        "repo", "snapshot_no", clean_path(F.col("path")).alias("path"), "delivered_at", F.lower("sha256").alias("sha"), "size_bytes", "mtime_ns"
+        "repo", "snapshot_no", clean_path(F.col("path")).alias("path"), "delivered_at", as_bytes(F.lower("sha256")).alias("sha"), "size_bytes", "mtime_ns"
     )
     state = latest(rows, ["repo", "snapshot_no", "path"], "delivered_at", ["sha", "size_bytes", "mtime_ns"])
-    digest = F.when(F.col("sha").isNotNull(), F.sha2("sha", 256))
-    fallback = F.sha2(F.concat_ws("|", F.coalesce(F.col("size_bytes").cast("string"), F.lit("-")), F.coalesce(F.col("mtime_ns").cast("string"), F.lit("-"))), 256)
+    digest = F.when(F.col("sha").isNotNull(), F.xxhash64("sha"))
+    fallback = F.xxhash64(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("size_bytes", "mtime_ns")]))
     return diff_consecutive(state, snapshots, "repo", "snapshot_no", "path", digest, fallback)
+
+
+def as_bytes(digest: Column) -> Column:
+    """A lower-case hexadecimal digest as bytes, in the same order; other text as its own bytes behind a mark. Null stays null."""
+    return F.when(digest.rlike("^([0-9a-f]{2})+$"), F.unhex(digest)).otherwise(F.concat(F.unhex(F.lit("FFFF")), F.encode(digest, "UTF-8")))
