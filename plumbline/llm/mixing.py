@@ -53,10 +53,10 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 7, total_token
     have = texts.groupBy("source").agg(F.sum("n_tokens").alias("have")).join(plan, "source")
     if total_tokens is None:
         total_tokens = have.select(F.min(F.col("have") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
-    need = F.least(F.lit(float(total_tokens)) * F.col("target_share"), F.col("have") * F.col("max_repeats"))
-    need = need * (1 + 1e-12)  # so that a need of exactly n copies is n whole copies
-    whole = F.least(F.floor(need / F.col("have")), F.col("max_repeats").cast("long"))
-    sources = have.withColumn("whole", whole).withColumn("rest", F.greatest(need - F.col("whole") * F.col("have"), F.lit(0.0)))
+    # Whole numbers from here on: a source at its cap is exactly there, whatever its size, and then nothing is drawn from it.
+    cap = (F.col("have") * F.col("max_repeats")).cast("long")
+    sized = have.withColumn("need", F.least(F.round(F.lit(float(total_tokens)) * F.col("target_share")).cast("long"), cap))
+    sources = sized.withColumn("whole", F.expr("need div have")).withColumn("rest", F.expr("need % have"))
 
     length_class = F.floor(F.log2("n_tokens") * PER_DOUBLING).cast("int")
     rows = texts.select("source", "text_key", "doc_id", "n_tokens", length_class.alias("k"))
