@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.languages import language_of
 
-#: Penalty units of a cut: before or after a blank line, at a nested region's bound, elsewhere; each level of indentation adds.
-BLANK, BOUND, INSIDE, LEVEL, MOST_LEVELS = 2, 0, 12, 2, 20
+#: Penalty units of a cut: at the bound of a region with a symbol, of another one, before or after a blank line, elsewhere; each
+#: level of indentation adds.
+NAMED, BOUND, BLANK, INSIDE, LEVEL, MOST_LEVELS = 0, 1, 2, 12, 2, 20
 #: Weight of uneven pieces against penalties, and the cost of one more piece.
 UNEVEN, PIECE = 24.0, 30.0
 
 
 def cut_profile(text: str) -> bytes:
-    """For each line the penalty of a cut after it, by the text alone. Lines end at ``\\n``; a final one starts no further line."""
+    """For each line a byte that says where a cut after it lies: twice the level of indentation, and 1 more if no blank line is
+    beside it. Lines end at ``\\n``; a final one starts no further line."""
     if not text:
         return b""
     lines = text.split("\n")
@@ -29,7 +31,7 @@ def cut_profile(text: str) -> bytes:
         bare = line.lstrip()
         # The cut after line i lies above what was seen last: its indentation is that of the next line that is not blank.
         here_blank = not bare
-        out[i] = min(255, (BLANK if blank_below or here_blank else INSIDE) + LEVEL * min(indent, MOST_LEVELS))
+        out[i] = 2 * min(indent, MOST_LEVELS) + (not blank_below and not here_blank)
         if not here_blank:
             lead = line[: len(line) - len(bare)]
             indent = lead.count("\t") + lead.count(" ") // 4 + (lead.count(" ") % 4 > 0)
@@ -39,6 +41,17 @@ def cut_profile(text: str) -> bytes:
     return bytes(out)
 
 
+def cut_prices(profile: bytes, bounds: list[int], named: list[int]) -> np.ndarray:
+    """The penalty of a cut after each line, given the lines (from 0) after which regions begin or end, and those with a symbol."""
+    code = np.frombuffer(profile, np.uint8)
+    price = np.where(code & 1, INSIDE, BLANK)
+    for lines, most in ((bounds, BOUND), (named, NAMED)):
+        at = np.array(lines, np.int64)
+        at = at[(at >= 0) & (at < len(price))]
+        price[at] = np.minimum(price[at], most)
+    return (price + LEVEL * (code >> 1)).astype(np.uint8)
+
+
 def split_lines(start: int, end: int, limit: int, overlap: int, penalties: np.ndarray) -> list[tuple[int, int]]:
     """The cheapest pieces of lines start..end: each at most ``limit`` lines, each next one repeating ``overlap`` lines.
 
@@ -76,7 +89,8 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
     The limit is that of the region's repository and language, else that of its language; the language is the given one
     or, if null or unknown, what the file's suffix means. Regions with a null bound, start below 1, end below start,
     without limit, without file or with a file without text give nothing; a bound past the last line becomes the last
-    line. Cuts prefer bounds of other regions of the file, then blank lines, then little indentation. Repeated rows
+    line. Cuts prefer bounds of regions with a symbol, then of other regions of the file, then
+    blank lines, then little indentation. Repeated rows
     count once. Only penalties, one byte a line, travel: texts are read where they lie. Regions of one hot file are spread
     by Spark's skew handling; a file's own lines bound what is gathered for it.
     """
@@ -86,8 +100,9 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
         return pa.array([None if t is None else cut_profile(t) for t in text.to_pylist()], pa.binary())
 
     lines = files.select("file_id", profile("text").alias("profile")).groupBy("file_id").agg(F.max("profile").alias("profile"))
+    symbol = F.col("symbol") if "symbol" in regions.columns else F.lit(None).cast("string").alias("symbol")
     usable = (
-        regions.select("region_id", "file_id", "repo", language_of(F.col("language"), F.col("file_path")).alias("language"), "start_line", "end_line")
+        regions.select("region_id", "file_id", "repo", language_of(F.col("language"), F.col("file_path")).alias("language"), "start_line", "end_line", symbol)
         .where("start_line >= 1 AND end_line >= start_line")
         .dropDuplicates(["region_id"])
     )
@@ -97,24 +112,21 @@ def split_regions(regions: DataFrame, files: DataFrame, limits: DataFrame) -> Da
     rows = rows.withColumn("l", F.coalesce("s", "g")).where("l.max_chunk_lines IS NOT NULL")
     # Bounds of a file's regions: at most as many as it has lines, so neither set outgrows the file. They lower the prices
     # once for each file; a region then takes its part of them, and nothing as long as a file is repeated for each region.
-    bounds = usable.groupBy("file_id").agg(F.collect_set("start_line").alias("starts"), F.collect_set("end_line").alias("ends"))
+    named = F.col("symbol") != ""
+    spots = usable.select("file_id", F.explode(F.array(F.col("start_line") - 2, F.col("end_line") - 1)).alias("at"), F.coalesce(named, F.lit(False)).alias("named"))
+    bounds = spots.groupBy("file_id").agg(F.collect_set("at").alias("bounds"), F.collect_set(F.when(F.col("named"), F.col("at"))).alias("named"))
 
     @F.arrow_udf("binary")
-    def priced(prof: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for p, ss, es in zip(prof.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-            price = np.frombuffer(p, np.uint8).copy()
-            at = np.array([s - 2 for s in ss] + [e - 1 for e in es], np.int64)
-            at = at[(at >= 0) & (at < len(price))]
-            price[at] = np.minimum(price[at], BOUND + price[at] % LEVEL)
-            out.append(price.tobytes())
-        return pa.array(out, pa.binary())
-
-    prices = lines.where("profile IS NOT NULL").join(bounds, "file_id").select("file_id", priced("profile", "starts", "ends").alias("profile"))
+    def priced(prof: pa.Array, bounds: pa.Array, named: pa.Array) -> pa.Array:
+        return pa.array([cut_prices(*row).tobytes() for row in zip(prof.to_pylist(), bounds.to_pylist(), named.to_pylist())], pa.binary())
+
+    prices = lines.where("profile IS NOT NULL").join(bounds, "file_id").select("file_id", priced("profile", "bounds", "named").alias("profile"))
     n = F.length("profile")
     sized = rows.join(prices, "file_id").withColumn("first", F.least("start_line", n)).withColumn("last", F.least("end_line", n))
     over = sized.where((n >= 1) & (F.col("last") - F.col("first") + 1 > F.col("l.max_chunk_lines")))
     part = over.select("region_id", "first", "last", "l", F.substring("profile", F.col("first"), F.col("last") - F.col("first") + 1).alias("price"))
+    # A byte of prices costs far more time than other bytes: as many parts as the session shuffles into, whatever their size.
+    part = part.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region_id")
 
     @F.arrow_udf("array<struct<start_line:int,end_line:int>>")
     def pieces(first: pa.Array, last: pa.Array, limit: pa.Array, overlap: pa.Array, price: pa.Array) -> pa.Array:
