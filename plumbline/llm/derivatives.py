@@ -3,6 +3,7 @@
 The derivative of a language by a token is what may follow once the token is read; a text parses if, after all tokens, the
 empty text is left in the language. A language is kept as a set of stacks of grammar nodes (its partial derivatives), so
 the derivative of a node by a token is worked out once for each pair, in any file of a worker, and looked up from then on.
+So is the derivative of a whole language, whose states are numbered.
 An empty derivative marks the token at which the text fails; an end at which nothing left is nullable marks a truncated one.
 """
 
@@ -11,6 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+#: States kept for a grammar by a worker.
+MOST_STATES = 200_000
+#: Tokens that begin a conditional part, one that is never taken, its next alternative, its last alternative, and end it.
+OPEN, OPEN_NEVER, NEXT, ELSE, CLOSE = -1, -2, -3, -4, -5
+
 _DSL = re.compile(r"\s+|--[^\n]*|(?P<q>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>[()|*+?:;])")
 
 
@@ -30,6 +36,7 @@ class Grammar:
             raise ValueError(f"rules without definition: {missing}")
         self.null = self._nullable()
         self.memo: dict[int, tuple[tuple[tuple[int, ...], ...], bool]] = {}
+        self._forget()
 
     # Building -----------------------------------------------------------------------------------------------------------
 
@@ -138,65 +145,123 @@ class Grammar:
                 break
         return out
 
-    def parse(self, tokens: Iterable[int]) -> tuple[str, int]:
+    # A language is a set of stacks. A cell is a node with the set of cells that may lie below it; equal cells are one, so
+    # stacks that differ only below what a token put on them are one, and ambiguous texts do not multiply their stacks.
+    # A state is the set of cells on top. States are numbered, and the derivative of a state by a token is kept for all
+    # texts of a worker: most tokens cost one look-up.
+
+    def _forget(self) -> None:
+        self.cells: dict[tuple[int, tuple[int, ...]], int] = {(-1, ()): 0}  # cell 0 lies below every stack
+        self.cell_at: list[tuple[int, tuple[int, ...]]] = [(-1, ())]
+        self.states: dict[tuple[int, ...], int] = {}
+        self.state_at: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}
+        self.first = self._state((self._cell(self.start, (0,)),))
+
+    def _cell(self, node: int, below: tuple[int, ...]) -> int:
+        key = (node, below)
+        found = self.cells.get(key)
+        if found is None:
+            found = self.cells[key] = len(self.cell_at)
+            self.cell_at.append(key)
+        return found
+
+    def _state(self, tops: tuple[int, ...]) -> int:
+        found = self.states.get(tops)
+        if found is None:
+            found = self.states[tops] = len(self.state_at)
+            self.state_at.append(tops)
+        return found
+
+    def move(self, state: int, token: int) -> int:
+        """The derivative of a state by a token; -1 if it is empty."""
+        memo, cell_at = self.memo, self.cell_at
+        groups: dict[tuple[int, ...], set[int]] = {}
+        todo, seen = list(self.state_at[state]), set()
+        while todo:
+            cell = todo.pop()
+            if cell in seen:
+                continue
+            seen.add(cell)
+            node, below = cell_at[cell]
+            if node < 0:
+                continue
+            got = memo.get(node << 10 | token) or self.derive(node, token)
+            for seq in got[0]:
+                groups.setdefault(seq, set()).update(below)
+            if got[1]:
+                todo += below
+        tops: set[int] = set()
+        for seq, rests in groups.items():
+            if not seq:
+                tops |= rests
+                continue
+            below = tuple(sorted(rests))
+            for x in seq[:0:-1]:
+                below = (self._cell(x, below),)
+            tops.add(self._cell(seq[0], below))
+        found = self._state(tuple(sorted(tops))) if tops else -1
+        self.moves[state << 10 | token] = found
+        return found
+
+    def may_end(self, state: int) -> bool:
+        """Whether the empty text is in the state's language."""
+        todo, seen = list(self.state_at[state]), set()
+        while todo:
+            cell = todo.pop()
+            node, below = self.cell_at[cell]
+            if node < 0:
+                return True
+            if cell not in seen and self._is_null(node):
+                seen.add(cell)
+                todo += below
+        return False
+
+    def _joined(self, states: set[int]) -> int:
+        """The state of all stacks of the states; -1 for none."""
+        if len(states) < 2:
+            return next(iter(states), -1)
+        return self._state(tuple(sorted({cell for x in states for cell in self.state_at[x]})))
+
+    def parse(self, tokens: Iterable[int], most: int = MOST_STATES) -> tuple[str, int]:
         """("ok", n), ("token", i) where the derivative by token i is empty, or ("end", n) where more must follow.
 
-        Stacks that differ only below what a token put on them are one: a cell is a node with all cells that may lie below
-        it, so ambiguous texts do not multiply their stacks.
+        Negative tokens are conditions on parts of the text: OPEN begins one (OPEN_NEVER one that is never taken), NEXT its
+        next alternative, ELSE its last one, CLOSE ends it. Each alternative goes on from the state before the first; what follows is
+        derived from all their last states at once. An alternative that fails fails the text, and so does an ELSE after
+        the last one, a CLOSE too many or, at the end, one too few.
+
+        Kept states are forgotten between texts once there are more than ``most``, which changes no result.
         """
-        memo, derive = self.memo, self.derive
-        end: tuple[int, list] = (-1, [])  # below the last cell of every stack
-        tops: list[tuple[int, list]] = [(self.start, [end])]
-        i = -1
+        if len(self.state_at) > most:
+            self._forget()
+        moves, at, i = self.moves, self.first, -1
+        open_parts: list[list] = []  # [state before, last states, whether the last alternative has begun, whether one was skipped]
         for i, token in enumerate(tokens):
-            groups: dict[tuple[int, ...], list] = {}
-            todo = tops
-            seen: set[int] | None = None
-            while todo:
-                below: list = []
-                for cell in todo:
-                    node, rests = cell
-                    if node < 0:
-                        continue
-                    got = memo.get(node << 10 | token)
-                    if got is None:
-                        got = derive(node, token)
-                    for seq in got[0]:
-                        if seq in groups:
-                            groups[seq] = [*groups[seq], *rests]
-                        else:
-                            groups[seq] = rests
-                    if got[1]:
-                        below += rests
-                if len(below) > 1 or seen is not None:
-                    seen = seen if seen is not None else set()
-                    fresh = []
-                    for cell in below:
-                        if id(cell) not in seen:
-                            seen.add(id(cell))
-                            fresh.append(cell)
-                    below = fresh
-                todo = below
-            if not groups:
-                return "token", i
-            tops = []
-            for seq, rests in groups.items():
-                if len(rests) > 1:
-                    rests = list({id(c): c for c in rests}.values())
-                if not seq:
-                    tops += rests
+            to = moves.get(at << 10 | token)
+            if to is None:
+                if token >= 0:
+                    if at < 0:
+                        continue  # in a part that is never taken
+                    to = self.move(at, token)
+                elif token in (OPEN, OPEN_NEVER):
+                    open_parts.append([at, set(), False, token == OPEN_NEVER])
+                    at = at if token == OPEN else -1
                     continue
-                for x in seq[:0:-1]:
-                    rests = [(x, rests)]
-                tops.append((seq[0], rests))
-        todo, seen = tops, set()
-        while todo:
-            below = []
-            for cell in todo:
-                if cell[0] < 0:
-                    return "ok", i + 1
-                if id(cell) not in seen and self._is_null(cell[0]):
-                    seen.add(id(cell))
-                    below += cell[1]
-            todo = below
-        return "end", i + 1
+                else:
+                    if not open_parts or token != CLOSE and open_parts[-1][2]:
+                        return "token", i
+                    before, last, _, skipped = part = open_parts[-1]
+                    last |= {at} - {-1}
+                    if token == CLOSE:
+                        if skipped and not part[2]:
+                            last |= {before} - {-1}
+                        at = self._joined(last)
+                        open_parts.pop()
+                    else:
+                        at, part[2] = before, token == ELSE
+                    continue
+            if to < 0:
+                return "token", i
+            at = to
+        return ("ok" if not open_parts and self.may_end(at) else "end"), i + 1

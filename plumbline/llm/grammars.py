@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-from plumbline.llm.derivatives import Grammar
+from plumbline.llm.derivatives import CLOSE, ELSE, NEXT, OPEN, OPEN_NEVER, Grammar
 
 # --- Tokens -------------------------------------------------------------------------------------------------------------
 
@@ -101,10 +101,11 @@ arrow : block | a ;
 tail : (binop unary)* ('?' a ':' a)? (assign a)? ;
 unary : ('!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await')* lhs ('++' | '--')? ;
 lhs : 'new'* primary post* | 'import' (args | '.' word) post* | 'super' post* ;
-post : '.' word | '?.' (word | '[' e ']' | args)? | '[' e ']' | args | TEMPLATE | POSTS ;
+post : '.' word | '?.' (word | '[' e ']' | args)? | '[' e ']' | args | template | POSTS ;
 args : '(' (arg (',' arg)* ','?)? ')' ;
 arg : '...'? a ;
-primary : id | NUM | STR | TEMPLATE | REGEX | 'this' | 'null' | 'true' | 'false' | '(' e ')' | arr | obj | func | klass | 'new' '.' word | EMPTY ;
+primary : id | NUM | STR | template | REGEX | 'this' | 'null' | 'true' | 'false' | '(' e ')' | arr | obj | func | klass | 'new' '.' word | EMPTY ;
+template : TEMPLATE | THEAD e (TMIDDLE e)* TTAIL ;
 parens : params ;
 arr : '[' (','* arg (',' arg?)*)? ']' | '[' ','+ ']' ;
 obj : '{' (prop (',' prop)* ','?)? '}' ;
@@ -141,7 +142,7 @@ enumer : 'const'? 'enum' id '{' (key ('=' a)? (',' key ('=' a)?)* ','?)? '}' ;
 type : ('|' | '&')? tunion ('extends' tunion '?' type ':' type)? | generic? params '=>' type | 'abstract'? 'new' generic? params '=>' type | 'asserts'? (id | 'this') 'is' type | 'asserts' (id | 'this') ;
 tunion : tpost (('|' | '&') tpost)* ;
 tpost : ('keyof' | 'readonly' | 'unique' | 'infer')* tprim ('[' type? ']' | '!')* ;
-tprim : (id | 'this' | 'void' | 'null' | 'true' | 'false' | 'import' args | 'typeof' (id | 'this' | 'import' args)) ('.' word)* targs? | STR | TEMPLATE | '-'? NUM | '(' type ')' | '[' (telem (',' telem)* ','?)? ']' | members ;
+tprim : (id | 'this' | 'void' | 'null' | 'true' | 'false' | 'import' args | 'typeof' (id | 'this' | 'import' args)) ('.' word)* targs? | STR | TEMPLATE | THEAD type (TMIDDLE type)* TTAIL | '-'? NUM | '(' type ')' | '[' (telem (',' telem)* ','?)? ']' | members ;
 telem : '...'? (id '?'? ':')? type '?'? ;
 targs : '<' type (',' type)* ','? '>' ;
 """
@@ -430,7 +431,9 @@ t : or ('if' or 'else' t)? | 'lambda' lparams? ':' t ;
 or : un (binop un)* ;
 un : ('not' | '-' | '+' | '~')* 'await'? atom post* ;
 binop : 'or' | 'and' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'? | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' ;
-atom : id | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (yield | star (comp | (',' star)* ','?))? ')' | '[' (star (comp | (',' star)* ','?))? ']' | '{' (pair (comp | (',' pair)* ','?))? '}' ;
+atom : id | NUM | string+ | 'None' | 'True' | 'False' | '...' | '(' (yield | star (comp | (',' star)* ','?))? ')' | '[' (star (comp | (',' star)* ','?))? ']' | '{' (pair (comp | (',' pair)* ','?))? '}' ;
+string : STR | FSTART field* FEND ;
+field : FOPEN (yield | stars) '='? ('!' id)? (FSPEC field*)? FCLOSE ;
 pair : star (':' t)? | '**' or ;
 comp : 'async'? 'for' stars0 'in' or ('if' or0)* comp? ;
 or0 : t (':=' t)? ;
@@ -490,82 +493,75 @@ def _any_tokens(language: str) -> list[str]:
 
 # --- From text to tokens -----------------------------------------------------------------------------------------------
 
-Tokens = list[tuple[str, int]]
+Tokens = list[tuple[str | int, int]]
 #: Kinds that end an expression, after which a line break may end a statement.
-_ENDS = {"IDENT", "NUM", "STR", "TEMPLATE", "REGEX", ")", "]", "}", "this", "null", "true", "false", "super", "return", "break", "continue", "++", "--", "debugger", "async", "of", "as", "from", "let", "yield", "await"}
-_GOES_ON = {".", "?.", ",", ";", ")", "]", "}", ":", "?", "(", "[", "{", "=", "=>", "in", "instanceof", "else", "catch", "finally", "TEMPLATE", "*", "/", "%", "+", "-", "<", ">", "&", "|", "^", "**", "==", "!=", "===", "!==", "<=", "&&", "||", "??", "<<", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", "**=", "&&=", "||=", "??=", "as", "satisfies", "extends", "implements", "from"}
-_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
+_ENDS = {"IDENT", "NUM", "STR", "TEMPLATE", "TTAIL", "REGEX", ")", "]", "}", "this", "null", "true", "false", "super", "return", "break", "continue", "++", "--", "debugger", "async", "of", "as", "from", "let", "yield", "await"}
+_GOES_ON = {".", "?.", ",", ";", ")", "]", "}", ":", "?", "(", "[", "{", "=", "=>", "in", "instanceof", "else", "catch", "finally", "TEMPLATE", "THEAD", "TMIDDLE", "TTAIL", "*", "/", "%", "+", "-", "<", ">", "&", "|", "^", "**", "==", "!=", "===", "!==", "<=", "&&", "||", "??", "<<", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", "**=", "&&=", "||=", "??=", "as", "satisfies", "extends", "implements", "from"}
+_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*")
 _TS_SOFT = frozenset("type declare abstract namespace module implements satisfies interface is keyof infer readonly public private protected override asserts global unique".split())
 
 
-def _template_end(text: str, i: int) -> int:
-    """The position after a template literal that starts at i, with its nested parts; -1 if it does not end."""
-    n = len(text)
-    nest = [-1]  # for each open part: braces open in code, or -1 within the text of a template
-    i += 1
-    while i < n:
-        c = text[i]
-        if nest[-1] < 0:
-            if c == "\\":
-                i += 1
-            elif c == "`":
-                nest.pop()
-                if not nest:
-                    return i + 1
-            elif c == "$" and text.startswith("${", i):
-                nest.append(0)
-                i += 1
-        elif c == "`":
-            nest.append(-1)
-        elif c in "\"'":
-            i += 1
-            while i < n and text[i] != c and text[i] != "\n":
-                i += 2 if text[i] == "\\" else 1
-        elif c == "{":
-            nest[-1] += 1
-        elif c == "}":
-            nest[-1] -= 1
-            if nest[-1] < 0:
-                nest.pop()
-        i += 1
-    return -1
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?P<end>`|\$\{)?")
 
 
 def _js_tokens(text: str, language: str) -> Tokens:
+    """Tokens of JavaScript and TypeScript, with NL where a line break may end a statement. The expressions within a template
+    are tokens like others, between THEAD, TMIDDLE and TTAIL."""
     lex, words = _LEX["javascript"], _WORDS["javascript"]
     soft = {"async", "of", "as", "from"} | (_TS_SOFT if language == "typescript" else set())
     out: Tokens = []
+    nest: list[str] = []  # what each open brace is: { of code or $ of a template
     i, n, prev, broke = 0, len(text), "", False
     while i < n:
         c = text[i]
-        if c == "`":
-            j = _template_end(text, i)
-            kind = "TEMPLATE" if j >= 0 else "ERR"
-            j = j if j >= 0 else n
+        if c == "`" or c == "}" and nest and nest[-1] == "$":
+            m = _TEMPLATE_TEXT.match(text, i + 1)
+            j = m.end()
+            if c == "}":
+                nest.pop()
+            if m["end"] == "`":
+                kind = "TEMPLATE" if c == "`" else "TTAIL"
+            else:
+                kind = "ERR" if m["end"] is None else "THEAD" if c == "`" else "TMIDDLE"
+                nest.append("$")
         elif c == "/" and prev not in _ENDS - {"return", "}"} and (m := _REGEX.match(text, i)):
             kind, j = "REGEX", m.end()
         else:
             m = lex.match(text, i)
-            j, group, t = m.end(), m.lastgroup, m[0]
-            if group == "nl" or group == "com" and "\n" in t:
-                broke = True
+            j, group = m.end(), m.lastgroup
+            if group == "ws":
                 i = j
                 continue
-            if group in ("ws", "com"):
+            t = m[0]
+            if group == "nl" or group == "com":
+                broke = broke or "\n" in t
                 i = j
                 continue
             if group == "word":
                 kind = "IDENT" if prev in (".", "?.") else t if t in words or t in soft else "IDENT"
+            elif group == "op":
+                kind = t
+                if t == "{":
+                    nest.append(t)
+                elif t == "}" and nest:
+                    nest.pop()
             else:
-                kind = {"num": "NUM", "str": "STR", "op": t, "err": "ERR"}[group]
+                kind = {"num": "NUM", "str": "STR", "err": "ERR"}[group]
         if broke and (prev in _ENDS or prev == "void" and language == "typescript") and (kind not in _GOES_ON or kind in ("as", "from") and prev == "}"):
             out.append(("NL", i))
         broke = False
         out.append((kind, i))
         prev, i = kind, j
+    if "$" in nest:  # a template without end
+        out.append(("ERR", n))
     return out
 
 
+#: Directives of the C preprocessor that make parts of a file conditional.
+_CONDITIONS = {"if": OPEN, "ifdef": OPEN, "ifndef": OPEN, "elif": NEXT, "elifdef": NEXT, "elifndef": NEXT, "else": ELSE, "endif": CLOSE}
+_DIRECTIVE = re.compile(r"[^\S\n]*([a-z]+)(?:[^\S\n]+(0)[^\S\n]*(?:$|/[/*]))?", re.M)
+
+
 def _plain_tokens(text: str, language: str) -> Tokens:
     """Tokens of the other languages with braces; Go gets the semicolons that its line breaks stand for."""
     lex, words = _LEX["c" if language == "cpp" else language], _WORDS[language]
@@ -580,7 +576,10 @@ def _plain_tokens(text: str, language: str) -> Tokens:
             group = "str"
         i = m.end()
         if c and t == "#" and group == "op" and not text[text.rfind("\n", 0, at) + 1 : at].strip():
-            while i < n:  # a directive, with its continued lines
+            m = _DIRECTIVE.match(text, i)
+            if m and m[1] in _CONDITIONS:
+                out.append((OPEN_NEVER if m[1] == "if" and m[2] else _CONDITIONS[m[1]], at))
+            while i < n:  # the rest of a directive, with its continued lines
                 e = text.find("\n", i)
                 i = n if e < 0 else e
                 if e < 0 or text[e - 1] != "\\":
@@ -618,18 +617,28 @@ def _plain_tokens(text: str, language: str) -> Tokens:
     return out
 
 
-_PY_STR = r"(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
+_PY_STR = r"(?:[rRbBuU]{0,2})(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
 _PY_NUM = r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
 _PY_OPS = "( ) [ ] { } , : := . ; @ = -> += -= *= /= //= %= @= &= |= ^= >>= <<= **= + - * / // % ** << >> & | ^ ~ < > <= >= == != ..."
 _PY = re.compile(
-    rf"(?P<ws>[ \t\f]+|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<com>\#[^\n]*)|(?P<str>{_PY_STR})|(?P<num>{_PY_NUM})|(?P<word>[^\W\d]\w*)|(?P<op>"
+    rf"(?P<ws>[ \t\f]+|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<com>\#[^\n]*)|(?P<fstr>(?:[fFtT][rR]?|[rR][fFtT])(?P<q>\"\"\"|'''|[\"']))|(?P<str>{_PY_STR})|(?P<num>{_PY_NUM})|(?P<word>[^\W\d]\w*)|(?P<op>"
     + "|".join(re.escape(o) for o in sorted(_PY_OPS.split(), key=len, reverse=True))
     + r")|(?P<err>[\s\S])"
 )
 
 
+@lru_cache(32)
+def _f_text(quote: str, raw: bool, spec: bool) -> re.Pattern[str]:
+    """What stands between the fields of an f-string, or in the format of a field."""
+    plain = rf"[^{{}}\\{quote[0]}]|{quote[0]}(?!{quote[1:]})" if len(quote) > 1 else rf"[^{{}}\\\n{quote}]"
+    escapes = ("" if raw else r"\\N\{[^}\n]*\}|") + r"\\[^{}]|\\(?=[{}])"
+    return re.compile(rf"(?:{plain}|{escapes}{'' if spec else '|{{|}}'})*+".replace("|{{|}}", r"|\{\{|\}\}"))
+
+
 def _python_tokens(text: str, language: str) -> Tokens:
+    """Tokens of Python with line ends and indentation; the fields of an f-string are tokens like others, between FSTART and FEND."""
     words = _WORDS["python"]
+    strings: list[tuple[str, bool, list[tuple[str, int]]]] = []  # open f-strings: quotes, raw, and the parts the place lies in
     out: Tokens = []
     text = text.removeprefix("\ufeff")
     depth, indents, i, n, fresh = 0, [0], 0, len(text), True
@@ -655,9 +664,43 @@ def _python_tokens(text: str, language: str) -> Tokens:
             i = j
             if i >= n:
                 break
+        if strings and strings[-1][2][-1][0] != "code":
+            quote, raw, parts = strings[-1]
+            spec = parts[-1][0] == "format"
+            i = _f_text(quote, raw, spec).match(text, i).end()
+            if text.startswith("{", i):
+                depth += 1
+                parts.append(("code", depth))
+                out.append(("FOPEN", i))
+            elif text.startswith("}", i) and spec:
+                del parts[-2:]
+                depth -= 1
+                out.append(("FCLOSE", i))
+            elif text.startswith(quote, i) and not spec:
+                strings.pop()
+                out.append(("FEND", i))
+                i += len(quote) - 1
+            elif i < n:
+                out.append(("ERR", i))
+            i += 1
+            continue
         m = _PY.match(text, i)
         group, t, at = m.lastgroup, m[0], i
         i = m.end()
+        if strings and depth == strings[-1][2][-1][1] and t in ("}", ":", ":=", "!"):
+            parts = strings[-1][2]
+            if t == "}":
+                parts.pop()
+                depth -= 1
+            elif t != "!":
+                parts.append(("format", depth))
+                i = at + 1
+            out.append(({"}": "FCLOSE", "!": "!"}.get(t, "FSPEC"), at))
+            continue
+        if group == "fstr":
+            strings.append((m["q"], "r" in t.lower(), [("text", 0)]))
+            out.append(("FSTART", at))
+            continue
         if group == "nl":
             if not depth:
                 if not fresh:
@@ -755,5 +798,5 @@ def check(language: str, text: str) -> tuple[str, int]:
         text = text.removeprefix("\ufeff")
     tokens = _TOKENISERS[language](text, language)
     kinds = g.tokens
-    state, i = g.parse([kinds.get(k, 0) for k, _ in tokens])
+    state, i = g.parse([k if isinstance(k, int) else kinds.get(k, 0) for k, _ in tokens] if language in ("c", "cpp") else [kinds.get(k, 0) for k, _ in tokens])
     return state, tokens[i][1] if state == "token" else len(text)

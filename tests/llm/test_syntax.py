@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm.derivatives import Grammar
-from plumbline.llm.grammars import check
+from plumbline.llm.grammars import _TOKENISERS, check, grammar
 from plumbline.llm.syntax import broken, parse_files, rates
 
 
@@ -140,3 +140,41 @@ def test_very_long_texts(language, text, state):
 def test_templates_nest():
     assert check("javascript", "x = `a ${f(`b ${'}'} ${{a: `c`}}`)} d`;")[0] == "ok"
     assert check("javascript", "x = `a ${f(`b`)} ")[0] == "token"
+
+
+F_STRINGS = ['f"{x}"','f"{x!r:>{w}}"',"f'{d[\"k\"]}'",'f"{d["k"]}"','f"a{{b}}c"','f"""{\nx}\n"""','f"{x=}"','f"{x=!r:^20}"',"rf'\\d{x}\\{y}'",'f"\\N{BULLET} {x}"','x = f"{a}" "b" f"{c:%Y-%m-%d}"','f"{f"{f"{1}"}"}"','f"{ {1:2}[1] }"','f"{x:{y}{z}}"','f"{(lambda x: 1)(2)}"','f"{x if y else z}"','f"{a != b}"','print(f"{a}", end="")\n','f"{yield_}"','f"{x:}"','f"{a[1:2]}"','f"""a " b {c} "" d"""','f"{x:=5}"','f""',"F'{a}'"]
+BROKEN_F_STRINGS = ['f"{x +}"','f"{}"','f"{x"','f"{x!}"','f"}"','f"{a b}"','f"{x:{}}"','f"{"','f"{x!r r}"']
+
+
+@pytest.mark.parametrize("text", F_STRINGS + BROKEN_F_STRINGS)
+def test_fields_of_f_strings_are_parsed(text):
+    try:
+        ast.parse(text)
+    except SyntaxError:
+        assert text in BROKEN_F_STRINGS and check("python", text)[0] != "ok"
+    else:
+        assert text in F_STRINGS and check("python", text)[0] == "ok"
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_expressions_of_templates_are_parsed(language):
+    for text in ['`a`','`a${b}c`','`${a}${b}`','`${`n${x}`}`','tag`a${ {a:1}.a }`;','x = `a${f(() => { return 1 })}`','const a = `\\`${b}`','`${a}`.length','`a$b`','`$${a}`','f(`${a}`)\ng()']:
+        assert check(language, text)[0] == "ok", text
+    for text in ['`${a b}`','`${}`','`a','`${a`','`${a +}`']:
+        assert check(language, text)[0] != "ok", text
+
+
+@pytest.mark.parametrize("language", ["c", "cpp"])
+def test_conditional_parts_are_alternatives_and_balanced(language):
+    for text in ['#if A\nint a;\n#else\nlong a;\n#endif\n','#ifdef __cplusplus\nextern "C" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n','#if 0\nthis is not C ((\n#endif\nint x;\n','int f(\n#ifdef A\nint a) {\n#else\nlong a) {\n#endif\nreturn a; }\n','#ifndef H\n#define H\nint a;\n#endif','#if 0\n#if X\n((\n#else\n]]\n#endif\n#else\nint z;\n#endif\n','#if A\n#elif B\nint b;\n#else\n#endif']:
+        if language == "cpp" or '"C"' not in text:
+            assert check(language, text)[0] == "ok", text
+    for text in ['#ifndef H\n#define H\nint a;\n','int a;\n#endif\n','#if A\n#else\n#else\n#endif\n','#else\n','#if A\nint a\n#endif\n','#if A\n#else\n#elif B\n#endif','#ifndef H\nvoid f(){\n#endif\n']:
+        assert check(language, text)[0] != "ok", text
+
+
+def test_forgotten_states_change_no_result():
+    texts = ["x = [1, (2, 3)]\n", "def f(:\n", "if x:\n    pass\n", "f(a, b=c)\n"]
+    g = grammar("python")
+    kinds = [[g.tokens.get(k, 0) for k, _ in _TOKENISERS["python"](t, "python")] for t in texts]
+    assert [g.parse(k) for k in kinds] == [g.parse(k, most=0) for k in kinds]
