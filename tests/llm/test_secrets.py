@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import textwrap
 
 import pytest
 from hypothesis import given, settings
@@ -109,3 +110,50 @@ def test_fragments(spark):
     previews = spark.createDataFrame([(9, 1), (8, None), (7, 0)], "preview_id long, redaction_count int")
     assert sorted(map(tuple, preview_counts(r, previews).collect())) == [(7, 0, 0, True), (8, None, 0, False), (9, 1, 1, True)]
     assert redact_fragments(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("layers", [1, 2, 5, 6, 9])
+def test_layers_are_opened_to_the_last(layers):
+    inner = b"password=Ab3xQ9z7Lm"
+    for i in range(layers):
+        inner = inner.hex().encode() if i % 3 == 1 else base64.b64encode(inner)
+    text = f'blob = "{inner.decode()}"'
+    (a, b), = credential_spans(text)
+    assert text[a:b].rstrip("=") == inner.decode().rstrip("=")
+    assert credential_spans(f'blob = "{base64.b64encode(b"nothing of interest in here").decode()}"') == []
+
+
+def der(tag: int, content: bytes) -> bytes:
+    n = len(content)
+    return bytes([tag, n]) + content if n < 128 else bytes([tag, 0x82]) + n.to_bytes(2, "big") + content
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, 60)) * k) for k in (3, 1, 3, 2, 2, 2, 2, 2)))
+PKCS12 = der(0x30, der(2, b"\3") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01") + der(0xA0, der(4, bytes(90)))) + der(0x30, bytes(40)))
+PGP = b"\x95\x00\x60" + b"\x04" + b"\x5f\x00\x00\x01" + b"\x01" + bytes(90)
+STORE = b"\xfe\xed\xfe\xed\x00\x00\x00\x02\x00\x00\x00\x01" + bytes(60)
+
+
+@pytest.mark.parametrize("container", [RSA, PKCS12, PGP, STORE])
+@pytest.mark.parametrize("form", ["one line", "64 columns", "continued", "concatenated", "escaped"])
+def test_containers_are_found_in_literals_broken_into_lines(container, form):
+    code = base64.b64encode(container).decode().rstrip("=")
+    lines = [code[i : i + 64] for i in range(0, len(code), 64)]
+    join = {"one line": "", "64 columns": "\n    ", "continued": "\\\n", "concatenated": '"\n  + "', "escaped": "\\n"}[form]
+    text = 'data:\n    "' + join.join(lines) + '"\nother: 1\n'
+    (a, b), = credential_spans(text)
+    assert text[a:b] == join.join(lines)
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(3, bytes(range(140))))
+    lines = textwrap.wrap(base64.b64encode(public).decode(), 64)
+    assert credential_spans(join.join(lines)) == []
+
+
+def test_stand_ins_with_a_random_part_are_credentials():
+    assert [t for t in ('password = "my-example-Zk3vQ9xLm2"', 'password = "example-password"', 'token = "your_token_here"') if credential_spans(t)] == ['password = "my-example-Zk3vQ9xLm2"']
+
+
+def test_long_names_and_types_lose_nothing():
+    name = "a" * 300 + "_password"
+    text = f'{name}: {"List[" * 30}str{"]" * 30} = "Zk3vQ9xLm2"'
+    (a, b), = credential_spans(text)
+    assert text[a:b] == "Zk3vQ9xLm2"
