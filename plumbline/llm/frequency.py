@@ -109,7 +109,7 @@ def radix_aggregate(rows: DataFrame, key: list[Column], sql: str, schema: str, s
 #: By (term, chunk): repeated rows once, forms added up; then this partition's part of each term.
 PARTS = """
 SELECT term, count(*) AS n_chunks, sum(n)::BIGINT AS n_occ FROM (
-  SELECT term, chunk_id, sum(n) AS n FROM (SELECT DISTINCT term, raw, chunk_id, n_occ, repo, n FROM rows) GROUP BY ALL) GROUP BY term
+  SELECT term, chunk_id, sum(n) AS n FROM (SELECT DISTINCT term, form, chunk_id, n_occ, repo, coalesce(n_occ, 1) AS n FROM rows) GROUP BY ALL) GROUP BY term
 """
 TOTALS = "SELECT term, sum(n_chunks)::BIGINT AS n_chunks, sum(n_occ)::BIGINT AS n_occ FROM rows GROUP BY term"
 SCHEMA = "term string, n_chunks long, n_occ long"
@@ -123,7 +123,7 @@ def term_frequencies(chunk_terms: DataFrame, chunks: DataFrame, shared: str, rar
     partition, meet. Null and blank terms and chunks not in ``chunks`` do not count, null n_occ counts 1, repeated rows
     once. Without chunks there are no terms.
     """
-    rows = usable_rows(chunk_terms, chunks)
+    rows = usable_rows(chunk_terms, chunks).drop("n")
     parts = radix_aggregate(rows, [F.col("term"), F.col("chunk_id")], PARTS, SCHEMA, shared, block_rows)
     totals = radix_aggregate(parts, [F.col("term")], TOTALS, SCHEMA, shared, block_rows)
     n = chunks.select(F.count_distinct("chunk_id")).first()[0]

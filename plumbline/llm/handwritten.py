@@ -253,7 +253,7 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     trees = merkle_nodes(contents)
     trees = trees.where(F.col("lines") >= LEAST_LINES)
     twice = trees.groupBy("digest").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("digest", "n")
-    shared = join_split_hot(trees, twice, "digest", F.col("n"), max(1, trees.count())).select("repo", "path").distinct()
+    shared = join_split_hot(trees, twice, ["digest"], F.col("n"), max(1, trees.count())).select("repo", "path").distinct()
     # A file lies in a shared tree if one of its ancestors or itself is one: ancestors are few, so they are listed.
     parts = F.split("path", "/")
     above = judged.select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path"))
@@ -263,7 +263,7 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     cells = cells.join(listed.withColumn("_known", F.lit(True)), "file_id", "left")
     stats = cells.groupBy("leaf").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.max("_known").alias("known"), F.count(F.lit(1)).alias("n"))
     common = stats.where("r0 <> r1 OR known").select("leaf", "n")
-    hits = join_split_hot(cells, common, "leaf", F.col("n"), max(1, cells.count()))
+    hits = join_split_hot(cells, common, ["leaf"], F.col("n"), max(1, cells.count()))
     alike = hits.groupBy("file_id").agg(F.sum("n_lines").alias("hit"), F.max("lines").alias("lines"))
     alike = alike.where((F.col("hit") >= LEAST_LINES) & (F.col("hit") >= SHARED * F.col("lines"))).select("file_id")
     vendored = listed.unionByName(in_tree).unionByName(alike).distinct().select("file_id", F.lit("vendored").alias("reason"))

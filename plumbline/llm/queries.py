@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import distinctive, encoding, frequency, handwritten, mixing, secrets, sentences, splitting, syntax, terms
 from plumbline.llm.sql import SQL  # noqa: F401
-from plumbline.session import shared_dir, ship, table
+from plumbline.session import shared_dir, ship, table, write_out
 
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,18 +20,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_reasons(spark, sf_dir).select("file_id")
 
 
-def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The counted terms, used twice and therefore written out, and the number of chunks."""
     ship(spark)
-    shared_dir(spark)
     chunks = table(spark, sf_dir, "chunks")
-    # Used three times from here on: written to the shared folder instead of being counted again.
-    counted = terms.counted_terms(table(spark, sf_dir, "chunk_terms"), chunks).checkpoint()
-    return distinctive.score_terms(counted, chunks.select(F.count_distinct("chunk_id")).first()[0])
+    return write_out(terms.counted_terms(table(spark, sf_dir, "chunk_terms"), chunks)), chunks.select(F.count_distinct("chunk_id")).first()[0]
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.score_terms(*_counted(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The conditions are exact counts, so a plan of scores and conditions in one would leave the scores out: they are written first.
-    return distinctive.dominated(p3_scores(spark, sf_dir).checkpoint())
+    counted, records = _counted(spark, sf_dir)
+    return distinctive.dominated(counted, distinctive.score_counts(counted, records))
 
 
 def p4_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,24 @@ def folded(term: pa.Array) -> pa.Array:
     return map_distinct(term, fold)
 
 
-def usable_rows(chunk_terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows (raw, term, chunk_id, n_occ, repo) that count: term folded and not blank, chunk_id in chunks, null n_occ as 1.
+#: Up to so many ids of chunks (32 MB) are sent to all executors; more are joined by a shuffle.
+SMALL_IDS = 4_000_000
 
-    Repeated rows are still there. Only the named columns are read, so further columns do not matter.
+
+def usable_rows(chunk_terms: DataFrame, chunks: DataFrame, small_ids: int = SMALL_IDS) -> DataFrame:
+    """Rows (form, term, chunk_id, n_occ, repo, n) that count: term folded and not blank, chunk_id in chunks, null n_occ as 1.
+
+    ``form`` is the written form where it differs from the folded one, else null: with term it still tells all forms apart.
+    Repeated rows are still there. Only the named columns are read, so further columns do not matter. The ids of chunks
+    are broadcast only if counted to be few enough; beyond that both sides are shuffled, with the same result.
     """
     ids = chunks.select("chunk_id").where(F.col("chunk_id").isNotNull())
-    rows = chunk_terms.select(F.col("term").alias("raw"), folded("term").alias("term"), "chunk_id", "n_occ", "repo")
-    return rows.where(F.col("term").isNotNull()).join(ids, "chunk_id", "left_semi").withColumn("n", F.coalesce(F.col("n_occ").cast("long"), F.lit(1)))
+    few = ids.count() <= small_ids
+    rows = chunk_terms.select(F.col("term").alias("raw"), folded("term").alias("term"), "chunk_id", "n_occ", "repo").where(F.col("term").isNotNull())
+    known = rows.join(F.broadcast(ids.distinct()) if few else ids, "chunk_id", "left_semi")
+    return known.select(
+        F.when(F.col("raw") != F.col("term"), F.col("raw")).alias("form"), "term", "chunk_id", "n_occ", "repo", F.coalesce(F.col("n_occ").cast("long"), F.lit(1)).alias("n")
+    )
 
 
 def counted_terms(chunk_terms: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -37,6 +47,5 @@ def counted_terms(chunk_terms: DataFrame, chunks: DataFrame) -> DataFrame:
 
     One shuffle on (term, chunk_id) serves both steps; no key holds more than the forms of one term in one chunk.
     """
-    rows = usable_rows(chunk_terms, chunks).repartition("term", "chunk_id")
-    distinct = rows.groupBy("term", "chunk_id", "raw", "n_occ", "repo").agg(F.first("n").alias("n"))
-    return distinct.groupBy("term", "chunk_id").agg(F.sum("n").alias("tf"))
+    rows = usable_rows(chunk_terms, chunks).drop("n").repartition("term", "chunk_id").distinct()
+    return rows.groupBy("term", "chunk_id").agg(F.sum(F.coalesce(F.col("n_occ").cast("long"), F.lit(1))).alias("tf"))

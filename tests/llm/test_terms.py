@@ -60,7 +60,7 @@ def test_frequencies_match_brute_force_with_and_without_spilling(spark, tmp_path
 
 def test_radix_recursion_reaches_its_end_for_one_hash(tmp_path):
     n = 500
-    table = pa.table({"term": ["t"] * n, "raw": ["t"] * n, "chunk_id": list(range(n)), "n_occ": [1] * n, "repo": ["r"] * n, "n": [1] * n, "h": [7] * n})
+    table = pa.table({"term": ["t"] * n, "form": [None] * n, "chunk_id": list(range(n)), "n_occ": [1] * n, "repo": ["r"] * n, "h": [7] * n})
     out = pa.Table.from_batches(list(RadixAggregator(PARTS, str(tmp_path), block_rows=10)(iter(table.to_batches(20)))))
     assert out.to_pylist() == [{"term": "t", "n_chunks": n, "n_occ": n}]
 
@@ -89,24 +89,38 @@ def test_dominated_terms_match_brute_force(spark):
     want = {(c, t) for (t, c), n in tf.items() if n >= 3 and df[t] >= 2 and 2 * n >= total[t]}
     counted = terms.counted_terms(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(c,) for c in chunks], "chunk_id long")).cache()
     scored = distinctive.score_terms(counted, 5)
-    assert {(r.chunk_id, r.term) for r in distinctive.dominated(scored).collect()} == want
+    scores = distinctive.score_counts(counted, 5)
+    assert {(r.chunk_id, r.term) for r in distinctive.dominated(counted, scores, elite=0.0).collect()} == want
+    elite = {(r.chunk_id, r.term) for r in scored.where("score >= 0.5").collect()}
+    assert {(r.chunk_id, r.term) for r in distinctive.dominated(counted, scores).collect()} == want & elite
     assert scored.where((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull()).count() == 0
     assert scored.count() == len(tf)
 
 
-def test_found_terms_come_from_scored_rows(spark, sf, monkeypatch):
-    def score_terms(counted, records):
-        broken = F.udf(lambda t: 1 / 0, "double")
-        return distinctive_score(counted, records).withColumn("score", F.col("score") + broken("term"))
+def test_found_terms_come_from_the_fitted_model(spark, sf, monkeypatch):
+    found = queries.p3_found(spark, sf)
+    assert "fitted(" in found._jdf.queryExecution().optimizedPlan().toString()
+    scored = queries.p3_scores(spark, sf)
+    mostly = "tf >= 3 AND n_chunks >= 2 AND 2 * tf >= n_total"
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in scored.where(mostly).select("chunk_id", "term").collect()}
+    assert scored.where(mostly + " AND score < 0.9").count() == 0  # far above the bound of an elite count
 
-    distinctive_score = distinctive.score_terms
-    want = {tuple(r) for r in queries.p3_found(spark, sf).collect()}
-    assert want == {tuple(r) for r in distinctive.dominated(queries.p3_scores(spark, sf)).collect()}
-    monkeypatch.setattr(distinctive, "score_terms", score_terms)
-    with pytest.raises(Exception, match="division by zero"):
+    def broken(*_):
+        raise ZeroDivisionError
+
+    monkeypatch.setattr(distinctive, "posterior_elite", broken)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
         queries.p3_found(spark, sf).collect()
 
 
+def test_many_ids_of_chunks_are_joined_by_a_shuffle(spark):
+    rows = spark.createDataFrame(rows_of(6), SCHEMA)
+    ids = spark.createDataFrame([(c,) for c in (1, 2, 3, 3)], "chunk_id long")
+    few, many = terms.usable_rows(rows, ids), terms.usable_rows(rows, ids, small_ids=1)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert "ResolvedHint" not in many._jdf.queryExecution().analyzed().toString()
+
+
 def test_the_fit_goes_on_until_it_has_converged():
     def likelihood(fit, values, counts, records):
         share, elite, base = fit
@@ -117,9 +131,9 @@ def test_the_fit_goes_on_until_it_has_converged():
     values, counts = np.concatenate([np.array(v, float) for v, _ in cases]), np.concatenate([np.array(c, float) for _, c in cases])
     owner = np.repeat(np.arange(len(cases)), [len(v) for v, _ in cases])
     fits = distinctive.fit_two_poisson(values, counts, owner, len(cases), 5484)
-    longer = distinctive.fit_two_poisson(values, counts, owner, len(cases), 5484, 3000)
+    longer = distinctive.fit_two_poisson(values, counts, owner, len(cases), 5484, 400)
     for i, fit in enumerate(fits):
         v, c = values[owner == i], counts[owner == i]
         assert likelihood(fit, v, c, 5484) >= likelihood(longer[i], v, c, 5484) - 1e-6
         alone = distinctive.fit_two_poisson(v, c, np.zeros(len(v), int), 1, 5484)[0]
-        assert np.allclose(fit, alone, rtol=1e-3)  # the other terms of the batch do not matter
+        assert abs(likelihood(fit, v, c, 5484) - likelihood(alone, v, c, 5484)) < 1e-5  # the other terms of the batch do not matter
