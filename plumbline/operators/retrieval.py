@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from plumbline.functions import terms as T
 from plumbline.functions import text as X
 from plumbline.operators.windows import top_k
+from plumbline.session import write_out
 
 K1, B = 1.2, 0.75
 #: Weights of the columns of a chunk.
@@ -152,7 +153,7 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFrame, deps: DataFrame, limit: int = 8) -> DataFrame:
     """Ranked evidence: 8 * strength / best + 2 / position, 24 or 12 for an exact or partial symbol, and a share of a seed's score
-    for its neighbours' first chunks. Needs the checkpoint folder. (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
+    for its neighbours' first chunks. Uses the shared folder. (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
     best = F.max("strength").over(Window.partitionBy("qid"))  # at most k rows of a question
     a = lexical(qs, chunks).withColumn("top", best).select("qid", "chunk_id", (8 * F.greatest("strength", F.lit(0.0)) / F.greatest("top", F.lit(1e-12)) + 2 / F.col("position")).alias("score"), F.lit("full-text match").alias("reason"))
     home = symbol_chunks(symbols, chunks)
@@ -160,7 +161,7 @@ def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFram
     one = found.groupBy("qid", "chunk_id").agg(F.min(F.struct("priority", "name")).alias("m"))
     exact = F.col("m.priority") == 0
     b = one.select("qid", "chunk_id", F.when(exact, 24.0).otherwise(12.0).alias("score"), F.concat(F.when(exact, "exact symbol match: ").otherwise("partial symbol match: "), F.col("m.name")).alias("reason"))
-    direct = a.unionByName(b).checkpoint()  # used twice: for the seeds, and for the sums
+    direct = write_out(a.unionByName(b))  # used twice: for the seeds, and for the sums
     place = chunks.select("chunk_id", "repo", F.col("file_path").alias("path"), "start_line", "end_line", "ordinal")
     by_path = direct.groupBy("qid", "chunk_id").agg(F.sum("score").alias("score")).join(place, "chunk_id").groupBy("qid", "repo", "path").agg(F.max("score").alias("score"))
     seeds = top_k(by_path.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.col("path"), F.col("repo")], min(limit, 8)).select("qid", "repo", F.col("path").alias("seed_path"), F.col("score").alias("seed_score"))

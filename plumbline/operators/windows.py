@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.session import write_out
+
 
 def running_sum(rows: DataFrame, group: str, order: list[Column], value: str, name: str = "running") -> DataFrame:
     """Adds the sum of ``value`` up to and including each row, by ``order`` within ``group``.
 
     No group is sorted in one task: rows are range-partitioned by (group, order), each partition is summed up, and only
-    the partitions' sums of a group, as many as there are partitions, are accumulated. The order must be total. Uses the
-    checkpoint folder, since a partition's number must not change between its uses. Null values count as 0.
+    the partitions' sums of a group, as many as there are partitions, are accumulated. The order must be total. Written to the
+    shared folder, since a partition's number must not change between its uses. Null values count as 0.
     """
-    cut = rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    cut = rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    cut = write_out(cut)
     sums = cut.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(group, "_part", "_before")

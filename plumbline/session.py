@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
@@ -45,8 +46,33 @@ def write_out(rows: DataFrame) -> DataFrame:
     """The rows, written once as a table into the shared folder and read from there: what follows is not computed again, and a
     lost executor loses nothing. The table goes when the session's JVM ends."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = passing(spark, f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}")
+    rows.write.mode("append").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """The path, whose folder is deleted when the session's JVM ends, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # which Hadoop does for what exists
+    return path
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Send a file of the driver, such as a vocabulary, to the executors once per SparkContext."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_plumbline_files", set())
+    if path not in sent and os.path.isfile(path):
+        sc.addFile(path)
+        sc._plumbline_files = sent | {path}
+
+
+def shipped_file(path: str) -> str:
+    """Where a file that was shipped lies on this machine; the path itself if it was not."""
+    try:
+        here = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no Spark in this process
+        return path
+    return here if os.path.isfile(here) else path
