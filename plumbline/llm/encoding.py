@@ -5,13 +5,15 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plumbline.session import ship_file, shipped_file
+
 #: The rank file of byte_bpe_50k; a parameter of every function below.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces remembered by a worker, and code points that are classified at once.
@@ -111,6 +113,7 @@ class Encoder:
         with open(ranks_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.cache: dict[str, list[int]] = {}
+        self.bytes_of = {r: b for b, r in self.ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until none is left; with a heap, so long pieces stay cheap."""
@@ -142,8 +145,21 @@ class Encoder:
             i = end[i]
         return out
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids."""
+        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+
+    def places(self, ids: list[int]) -> list[int]:
+        """For each id of a piece the code point, from the piece's start, that holds its first byte."""
+        out, n = [], 0
+        for i in ids:
+            part = self.bytes_of[i]
+            out.append(n - (part[0] & 0xC0 == 0x80))
+            n += sum(b & 0xC0 != 0x80 for b in part)
+        return out
+
     def encode(self, texts: list[str | None], offsets: bool = False) -> Iterator[tuple[list[int], list[int]]]:
-        """(ids, starts) of each text; starts (if asked for) has the code point at which each id's piece starts."""
+        """(ids, starts) of each text; starts (if asked for) has the code point that holds each id's first byte."""
         block: list[str] = []
         size = 0
         for text in texts:
@@ -179,7 +195,8 @@ class Encoder:
                         cache[piece] = got
                 ids += got
                 if offsets:
-                    where += [places[i] - int(begin[k])] * len(got)
+                    base = places[i] - int(begin[k])
+                    where += [base] if len(got) == 1 else [base + x for x in self.places(got)]
             at = stop
             yield ids, where
 
@@ -191,13 +208,14 @@ def encoder(ranks_file: str = RANKS) -> Encoder:
 
 
 def encode_documents(documents: DataFrame, ranks_file: str = RANKS, offsets: bool = False) -> DataFrame:
-    """(doc_id, ids) of every document's text, with ``starts`` if offsets are wanted; null and empty texts have no ids.
+    """(doc_id, ids) of every document's text, with ``starts`` if offsets are wanted: for each id the code point of the text that
+    holds its first byte. Null and empty texts have no ids. ``Encoder.decode`` gives the text back.
 
     A narrow plan: one pass, no shuffle, only doc_id and text are read. Repeated rows come out repeatedly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_file)
+        enc = encoder(shipped_file(ranks_file))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -208,6 +226,7 @@ def encode_documents(documents: DataFrame, ranks_file: str = RANKS, offsets: boo
                 yield pa.RecordBatch.from_pydict(cols)
 
     rows = documents.select("doc_id", "text")
+    ship_file(rows.sparkSession, ranks_file)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>" + ", starts array<int>" * offsets)
 
 
@@ -215,11 +234,12 @@ def token_counts(documents: DataFrame, columns: list[str], ranks_file: str = RAN
     """``columns`` of documents with n_tokens, the number of ids of text (0 for null and empty texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_file)
+        enc = encoder(shipped_file(ranks_file))
         for batch in batches:
             sizes = pa.array([len(ids) for ids, _ in enc.encode(batch.column("text").to_pylist())], pa.int64())
             yield batch.select(columns).append_column("n_tokens", sizes)
 
     rows = documents.select(*columns, *[c for c in ("text",) if c not in columns])
+    ship_file(rows.sparkSession, ranks_file)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes) + ", n_tokens long"
     return rows.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.encoding import RANKS, token_counts
+from plumbline.session import write_out
 
 #: Classes of lengths for each doubling, and classes of ranks in which the cut of a source is looked up.
 PER_DOUBLING, RANK_CLASSES = 16, 65_536
@@ -68,7 +69,7 @@ def mix_sources(texts: DataFrame, targets: DataFrame, seed: int = 7, total_token
         return bars[["source", "k"]].assign(p=p, left=rest - bars["tokens"][p >= 1].sum())
 
     # At most 16 * 63 rows of a source meet here, whatever the number of texts. Texts that are certain (p = 1) need no order.
-    chance = bars.groupBy("source").applyInPandas(solve, "source string, k int, p double, left double").checkpoint()
+    chance = write_out(bars.groupBy("source").applyInPandas(solve, "source string, k int, p double, left double"))
     left = chance.groupBy("source").agg(F.max("left").alias("left"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "text_key"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     odds = u / (1 - u) / (F.col("p") / (1 - F.col("p")))

@@ -85,11 +85,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return encoding.encode_documents(table(spark, sf_dir, "documents"), offsets=True)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     shared_dir(spark)
     targets = table(spark, sf_dir, "mix_targets")
-    texts = mixing.countable(table(spark, sf_dir, "documents"), targets).checkpoint()  # counted once, used five times
+    texts = write_out(mixing.countable(table(spark, sf_dir, "documents"), targets))  # counted once, used five times
     return mixing.mix_sources(texts, targets)
 
 
@@ -102,4 +107,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.prose_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_reasons, p2_found, p3_scores, p3_found, p4_parsed, p4_found, p4_rates, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_reasons, p2_found, p3_scores, p3_found, p4_parsed, p4_found, p4_rates, p5_pieces, p5_found, p6_frequencies, p6_found, p7_redacted, p7_found, p7_preview_counts, p8_ids, p8_offsets, p9_mix, p9_shares, p10_found)}

@@ -59,3 +59,22 @@ def test_rank_file_is_a_parameter(tmp_path):
     file = tmp_path / "own.tiktoken"
     file.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
     assert next(Encoder(str(file)).encode(["ab"]))[0] == [97, 98]
+
+
+@settings(max_examples=200, deadline=None)
+@given(PARTS)
+def test_offsets_lead_back_to_the_text(text):
+    enc = getattr(test_ids_equal_the_library, "e", None) or Encoder()
+    test_ids_equal_the_library.e = enc
+    (ids, starts), = enc.encode([text], offsets=True)
+    assert enc.decode(ids) == text and len(starts) == len(ids)
+    for k, at in enumerate(starts):
+        first = enc.bytes_of[ids[k]]
+        if first[0] & 0xC0 != 0x80:  # starts with a code point: what comes before decodes to the text up to there
+            assert enc.decode(ids[:k]) == text[:at]
+
+
+def test_documents_with_offsets(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "día 中文 x")], "doc_id long, text string")
+    for r in encode_documents(df, offsets=True).collect():
+        assert len(r.ids) == len(r.starts) and (r.doc_id == 3 or r.ids == [])
