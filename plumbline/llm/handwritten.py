@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.skew import join_split_hot
+from plumbline.session import write_out
 
 # --- Fixed values: what tools write and where copies are kept ----------------------------------------------------------
 
@@ -140,18 +142,26 @@ def looks_like_data(text: str) -> bool:
     return many or size >= BLOB and size >= BLOB_SHARE * whole
 
 
+#: Lines of a leaf below a file: at least, and from there on one line in so many ends it, by its hash.
+LEAF_LINES, ONE_IN = 3, 4
+
+
 def leaves(text: str) -> Iterator[tuple[int, int]]:
-    """(hash, lines) of the blocks of a text: the leaves below a file. Comments, blanks and layout do not matter; blocks
-    of fewer than three lines join the next one."""
+    """(hash, lines) of the blocks of a text: the leaves below a file. Comments, blanks and layout do not matter. A block ends at
+    a blank line or behind a line whose own hash says so, once it has three lines: a change costs the blocks it touches,
+    wherever blank lines stand."""
     block: list[str] = []
     for line in text.split("\n"):
         bare = "".join(line.split())
         if not bare:
-            if len(block) >= 3:
+            if len(block) >= LEAF_LINES:
                 yield _hash("\n".join(block)), len(block)
                 block = []
         elif not _COMMENT.match(line):
             block.append(bare)
+            if len(block) > LEAF_LINES and zlib.crc32(bare.encode("utf-8", "surrogatepass")) % ONE_IN == 0:
+                yield _hash("\n".join(block)), len(block)
+                block = []
     if block:
         yield _hash("\n".join(block)), len(block)
 
@@ -203,7 +213,8 @@ def merkle_nodes(leaves_of_files: DataFrame) -> DataFrame:
         up = level.groupBy("repo", parent.alias("path")).agg(
             F.sum(F.shiftright(h, 32)).alias("a"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines")
         )
-        up = up.select("repo", "path", F.xxhash64("a", "b", "n").alias("digest"), "lines", F.lit(d - 1).alias("depth")).checkpoint()
+        up = up.select("repo", "path", F.xxhash64("a", "b", "n").alias("digest"), "lines", F.lit(d - 1).alias("depth"))
+        up = write_out(up)
         levels.append(up)
         level = files.where(F.col("depth") == d - 1).unionByName(up)
     return reduce(DataFrame.unionByName, levels).where("path <> ''").select("repo", "path", "digest", "lines")
@@ -215,12 +226,34 @@ SHARED = 0.6
 LEAST_LINES = 5
 
 
+#: Two repositories are one family if at least this share of the files of one is in the other, and so many files.
+KIN_SHARE, KIN_FILES = 0.5, 5
+
+
+def families(judged: DataFrame) -> DataFrame:
+    """(repo, family, files): forks and mirrors are named after the repository whose files they hold, others after themselves.
+
+    Only files that nothing else marks count. Each content is compared with one repository, the first that has it, so no
+    pairs of repositories arise; a fork of a fork leads to the same first one.
+    """
+    own = judged.where((F.col("lines") >= LEAST_LINES) & F.col("reason").isNull()).select("repo", "digest").distinct()
+    first = own.groupBy("digest").agg(F.min("repo").alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy("repo").agg(F.count(F.lit(1)).alias("size"))
+    both = join_split_hot(own, first.where("n > 1"), ["digest"], F.col("n"), own.count()).where("repo <> first")
+    alike = both.groupBy("repo", "first").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "repo")
+    kin = alike.where((F.col("shared") >= KIN_FILES) & (F.col("shared") >= KIN_SHARE * F.col("size")))
+    kin = kin.groupBy("repo").agg(F.min_by("first", F.struct(-F.col("shared"), "first")).alias("first"))
+    every = judged.groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
+    return every.join(kin, "repo", "left").select("repo", F.coalesce("first", "repo").alias("family"), "files")
+
+
 def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """(file_id, reason) of every file that nobody wrote by hand; reason is generated, minified, vendored or data.
 
     Files are judged by name, header and layout. Copies of third-party code are found by Merkle hashes: a file's blocks
-    are the leaves, files and directories the inner nodes; nodes with the same hash in two repositories, known digests
-    and files most of whose lines lie in blocks shared with another repository or a known release are vendored.
+    are the leaves, files and directories the inner nodes; nodes with the same hash in two unrelated repositories (not
+    forks of each other), known digests and files most of whose lines lie in blocks shared with an unrelated repository or a
+    known release are vendored.
     Null texts and null ids are no cases, repeated rows count once; extra columns are ignored.
     """
     rows = files.select("file_id", "repo", "path", F.lower("sha256").alias("sha"), "text").where("text IS NOT NULL AND file_id IS NOT NULL")
@@ -233,7 +266,9 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
             blocks = [list(leaves(t)) for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {
-                    **{c: batch.column(c) for c in ("file_id", "repo", "sha")},
+                    "file_id": batch.column("file_id"),
+                    "repo": batch.column("repo").fill_null(""),
+                    "sha": batch.column("sha"),
                     "path": pa.array([(p or "").replace("\\", "/").strip("/") for p in paths], pa.string()),
                     "reason": pa.array(found, pa.string()),
                     "digest": pa.array([_hash("|".join(str(h) for h, _ in b)) for b in blocks], pa.int64()),
@@ -244,15 +279,19 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
 
     schema = f"file_id {dict(rows.dtypes)['file_id']}, repo string, sha string, path string, reason string, digest long, lines int, blocks array<struct<leaf:long,lines:int>>"
     # Texts are read once; what follows works on hashes.
-    judged = rows.mapInArrow(run, schema).dropDuplicates(["file_id"]).checkpoint()
+    judged = write_out(rows.mapInArrow(run, schema).dropDuplicates(["file_id"]))
     own = judged.where("reason IS NOT NULL").select("file_id", "reason")
     known = upstream.select(F.lower("sha256").alias("sha")).dropna().distinct()
     listed = judged.join(known, "sha", "left_semi").select("file_id")
 
-    contents = judged.where("lines > 0").groupBy("repo", "path").agg(F.max("digest").alias("digest"), F.max("lines").alias("lines")).checkpoint()
+    kin, n_files = write_out(families(judged)), judged.count()
+    contents = write_out(judged.where("lines > 0").groupBy("repo", "path").agg(F.max("digest").alias("digest"), F.max("lines").alias("lines")))
     trees = merkle_nodes(contents)
     trees = trees.where(F.col("lines") >= LEAST_LINES)
-    twice = trees.groupBy("digest").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("digest", "n")
+    # A tree of one repository may be in it more than once: first the repositories of a digest, then their families.
+    holders = trees.groupBy("digest", "repo").agg(F.count(F.lit(1)).alias("n"))
+    holders = join_split_hot(holders, kin, ["repo"], F.col("files"), n_files)
+    twice = holders.groupBy("digest").agg(F.min("family").alias("r0"), F.max("family").alias("r1"), F.sum("n").alias("n")).where("r0 <> r1").select("digest", "n")
     shared = join_split_hot(trees, twice, ["digest"], F.col("n"), max(1, trees.count())).select("repo", "path").distinct()
     # A file lies in a shared tree if one of its ancestors or itself is one: ancestors are few, so they are listed.
     parts = F.split("path", "/")
@@ -261,7 +300,9 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
 
     cells = judged.select("file_id", "repo", "lines", F.explode("blocks").alias("b")).select("file_id", "repo", "lines", "b.leaf", F.col("b.lines").alias("n_lines"))
     cells = cells.join(listed.withColumn("_known", F.lit(True)), "file_id", "left")
-    stats = cells.groupBy("leaf").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.max("_known").alias("known"), F.count(F.lit(1)).alias("n"))
+    holders = cells.groupBy("leaf", "repo").agg(F.max("_known").alias("known"), F.count(F.lit(1)).alias("n"))
+    holders = join_split_hot(holders, kin, ["repo"], F.col("files"), n_files)
+    stats = holders.groupBy("leaf").agg(F.min("family").alias("r0"), F.max("family").alias("r1"), F.max("known").alias("known"), F.sum("n").alias("n"))
     common = stats.where("r0 <> r1 OR known").select("leaf", "n")
     hits = join_split_hot(cells, common, ["leaf"], F.col("n"), max(1, cells.count()))
     alike = hits.groupBy("file_id").agg(F.sum("n_lines").alias("hit"), F.max("lines").alias("lines"))

@@ -85,3 +85,20 @@ def test_headers_are_read_up_to_the_first_code():
     assert header_says_copied(long + "vendored from x\nint x;\n") and header_says_copied("int x;\n// vendored from x\n")
     assert not header_says_generated(licence + "int x;\n// Code generated by x. DO NOT EDIT.\n")
     assert not header_says_copied(licence + "int x;\n// vendored from x\n")
+
+
+def test_forks_are_no_vendored_code_and_a_null_repository_loses_nothing(spark):
+    code = lambda k: "\n".join(f"def {w}_{k}(x, y):\n    z = x * {k} + y\n    return {w}(z, {k})\n" for w in ("walk", "fold", "trim", "pour"))
+    rows = [(repo, f"src/m{k}.py", code(k)) for repo in ("orig", "fork") for k in range(8)]
+    rows += [("other", f"lib/o{k}.py", code(100 + k)) for k in range(8)] + [("other", "lib/copied.py", code(3)), (None, "lib/taken.py", code(100))]
+    files = spark.createDataFrame([(i, r, p, None, t) for i, (r, p, t) in enumerate(rows)], "file_id long, repo string, path string, sha256 string, text string")
+    found = {rows[r.file_id][:2] for r in not_handwritten(files, spark.createDataFrame([], "sha256 string")).collect()}
+    assert ("other", "lib/copied.py") in found and (None, "lib/taken.py") in found
+    assert {p for r, p in found if r in ("orig", "fork")} == {"src/m3.py"}  # shared with an unrelated repository
+
+
+def test_a_change_costs_its_own_block_only_even_without_blank_lines():
+    lines = [f"value_{i} = compute({i * 37 % 101}, table[{i}])" for i in range(120)]
+    changed = [*lines[:60], "value_60 = patched()", *lines[61:]]
+    own = dict(leaves("\n".join(lines)))
+    assert sum(n for h, n in leaves("\n".join(changed)) if h in own) >= 90
