@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.terms import usable_rows
+from plumbline.session import passing
 
 #: Rows that one aggregation holds in memory; beyond it a partition is spilled and split by the next bits of its hash.
 BLOCK_ROWS = 400_000
 BITS = 4
-#: Beyond this depth rows share their whole hash, so DuckDB aggregates what is left from disk.
+#: Beyond this depth rows share nearly their whole hash, so they are few keys: DuckDB aggregates them as they are read.
 DEPTH = 12
 MEMORY = "256MB"
 
 
-def spill_folder(shared: str) -> str:
-    """A new folder below the shared one, or, if that is no file system of this machine, below the one Spark gave the executor."""
-    url = urlparse(shared)
-    root = url.path if url.scheme in ("", "file") else os.environ.get("SPARK_LOCAL_DIRS", os.getcwd()).split(",")[0]
-    return os.path.join(root, f"radix-{uuid.uuid4().hex}")
-
-
 class RadixAggregator:
-    """Runs ``sql`` (over a view named rows) on each radix class of the rows, as deep as needed; column ``h`` is the hash."""
+    """Runs ``sql`` (over a view named rows) on each radix class of the rows, as deep as needed; column ``h`` is the hash.
+
+    Spilled files lie in a folder of their own below ``shared``, on whatever file system that is.
+    """
 
     def __init__(self, sql: str, shared: str, block_rows: int = BLOCK_ROWS) -> None:
-        self.sql, self.block_rows, self.folder = sql, block_rows, spill_folder(shared)
+        self.sql, self.block_rows = sql, block_rows
+        self.fs, root = pa.fs.FileSystem.from_uri(shared) if "://" in shared or shared.startswith("file:") else (pa.fs.LocalFileSystem(), shared)
+        self.folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        self.spilled = False
 
-    def _query(self, rows: pa.Table | list[str]) -> Iterator[pa.RecordBatch]:
+    def _query(self, rows: pa.Table | pa.RecordBatchReader) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": os.path.join(self.folder, "duckdb")}) as con:
-            if isinstance(rows, list):
-                con.execute(f"CREATE VIEW rows AS SELECT * FROM read_parquet({rows!r})")
-            else:
-                con.register("rows", rows)
+        # DuckDB spills what is beyond its memory only into the shared folder, or not at all where that is no path.
+        spill = f"{self.folder}/duckdb" if isinstance(self.fs, pa.fs.LocalFileSystem) else ""
+        with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill}) as con:
+            con.register("rows", rows)
             yield from con.sql(self.sql).to_arrow_reader(50_000)
 
     def run(self, batches: Iterator[pa.RecordBatch], depth: int = 0) -> Iterator[pa.RecordBatch]:
@@ -60,8 +57,9 @@ class RadixAggregator:
             yield from self._query(pa.Table.from_batches(held))
 
     def _split(self, held: list[pa.RecordBatch], rest: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-        where = os.path.join(self.folder, uuid.uuid4().hex)
-        os.makedirs(where)
+        where = f"{self.folder}/{uuid.uuid4().hex}"
+        self.fs.create_dir(where, recursive=True)
+        self.spilled = True
         files: dict[int, pq.ParquetWriter] = {}
 
         def spill(table: pa.Table) -> None:
@@ -69,40 +67,44 @@ class RadixAggregator:
             for r in range(2**BITS):
                 if len(part := table.filter(pa.array(radix == r))):
                     if r not in files:
-                        files[r] = pq.ParquetWriter(os.path.join(where, f"{r}.parquet"), table.schema, compression="lz4")
+                        files[r] = pq.ParquetWriter(f"{where}/{r}.parquet", table.schema, compression="lz4", filesystem=self.fs)
                     files[r].write_table(part)
 
         spill(pa.Table.from_batches(held))
         held.clear()
+        n = 0
         for batch in rest:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= self.block_rows // 4:
+            n += batch.num_rows
+            if n >= self.block_rows // 4:
                 spill(pa.Table.from_batches(held))
                 held.clear()
+                n = 0
         if held:
             spill(pa.Table.from_batches(held))
         for f in files.values():
             f.close()
         for r in sorted(files):
-            path = os.path.join(where, f"{r}.parquet")
-            if depth + 1 >= DEPTH:
-                yield from self._query([path])
-            else:
-                with pq.ParquetFile(path) as f:
+            path = f"{where}/{r}.parquet"
+            with pq.ParquetFile(path, filesystem=self.fs) as f:
+                if depth + 1 >= DEPTH:
+                    yield from self._query(pa.RecordBatchReader.from_batches(f.schema_arrow, f.iter_batches(65_536)))
+                else:
                     yield from self.run(f.iter_batches(65_536), depth + 1)
-            os.remove(path)
+            self.fs.delete_file(path)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(os.path.join(self.folder, "duckdb"), exist_ok=True)
         try:
             yield from self.run(batches)
         finally:
-            shutil.rmtree(self.folder, ignore_errors=True)
+            if self.spilled:
+                self.fs.delete_dir(self.folder)
 
 
 def radix_aggregate(rows: DataFrame, key: list[Column], sql: str, schema: str, shared: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Partitions rows by the hash of ``key`` and aggregates each partition with ``sql`` through the radix aggregator."""
     hashed = rows.withColumn("h", F.xxhash64(*key)).repartition("h")
+    shared = passing(rows.sparkSession, f"{shared.rstrip('/')}/radix-{uuid.uuid4().hex}")  # also what a lost worker leaves behind
     return hashed.mapInArrow(lambda batches: RadixAggregator(sql, shared, block_rows)(batches), schema)
 
 
@@ -126,6 +128,6 @@ def term_frequencies(chunk_terms: DataFrame, chunks: DataFrame, shared: str, rar
     rows = usable_rows(chunk_terms, chunks).drop("n")
     parts = radix_aggregate(rows, [F.col("term"), F.col("chunk_id")], PARTS, SCHEMA, shared, block_rows)
     totals = radix_aggregate(parts, [F.col("term")], TOTALS, SCHEMA, shared, block_rows)
-    n = chunks.select(F.count_distinct("chunk_id")).first()[0]
+    n = chunks.select(F.count_distinct("chunk_id")).scalar()  # a subquery of one value
     mark = F.when(F.col("n_chunks") < rare, "rare").when(F.col("n_chunks") > n * common, "common")
     return totals.select("term", "n_occ", "n_chunks", mark.alias("mark"))

@@ -94,3 +94,12 @@ def test_countable_and_empty(spark):
     assert [(r.source, r.doc_id, r.n_tokens) for r in got] == [("a", 1, 2)]
     empty = mixing.countable(docs.limit(0), targets)
     assert mixing.mix_sources(empty, targets).count() == 0 and mixing.reached_shares(mixing.mix_sources(empty, targets), targets).collect()[0].reached_share == 0
+
+
+@pytest.mark.parametrize("share", [1.0, 0.3, 0.7])
+def test_the_cap_is_exact_at_any_size(spark, share):
+    n = 25_000_000_000_001
+    texts = texts_of(spark, {"a": [n, 40, 7], "b": [n * 3] * 9})
+    targets = spark.createDataFrame([("a", share, 4), ("b", 1 - share, 4)], "source string, target_share double, max_repeats int")
+    mix = {(r.source, r.doc_id): r.copies for r in mixing.mix_sources(texts, targets).collect()}
+    assert max(mix.values()) <= 4 and {mix["a", i] for i in range(3)} == {4}

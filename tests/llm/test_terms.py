@@ -55,7 +55,7 @@ def test_frequencies_match_brute_force_with_and_without_spilling(spark, tmp_path
         n_chunks[t] += 1
     want = {t: (n_occ[t], n_chunks[t], "rare" if n_chunks[t] < 3 else "common" if n_chunks[t] > 1 else None) for t in n_occ}
     assert {r.term: (r.n_occ, r.n_chunks, r.mark) for r in got.collect()} == want
-    assert not os.listdir(tmp_path)  # spilled files are gone
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files]  # spilled files are gone
 
 
 def test_radix_recursion_reaches_its_end_for_one_hash(tmp_path):
