@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import graph, retrieval
-from plumbline.plans.store import FactStore, StaleScan, StoreError, Update
-from plumbline.session import shared_dir
-from plumbline.sources.tree import read_tree
+from plumbline.plans.store import FEW, MOST_PARTS, FactStore, StaleScan, StoreError, Update
+from plumbline.session import shared_dir, ship
+from plumbline.sources.tree import OPTIONS, list_tree, read_changed
 
 MODES = ("auto", "always", "never", "rebuild")
 
@@ -41,6 +41,7 @@ class Engine:
         """Brings the store up to date: auto and always parse what changed, rebuild everything, never only checks that facts fit."""
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
+        ship(self.spark)
         if mode == "never":
             p = self.store.pointer()
             if not p.folder or p.fingerprint != self.store.component:
@@ -48,8 +49,16 @@ class Engine:
             return Update(generation=p.generation, revision=p.revision, cache_hit=True)
         for left in range(attempts - 1, -1, -1):
             base = self.store.pointer()
+            # auto trusts size and times of files whose facts fit; always and rebuild read every file.
+            trust = mode == "auto" and bool(base.folder) and base.fingerprint == self.store.component
+            entries = list_tree(self.root, **self.options)
+            known = self.store.table("files", base) if base.folder else None
             try:
-                return self.store.commit(read_tree(self.spark, self.root, **self.options), base, rebuild=mode == "rebuild")
+                if trust:
+                    changed = self.store.differences(entries, known, FEW + 1)
+                    if len(changed) <= FEW and (len(base.parts) < MOST_PARTS or not changed):
+                        return self.store.commit_few(self.root, entries, changed, base, int(self.options.get("maxFileBytes", OPTIONS["maxFileBytes"])))
+                return self.store.commit(read_changed(self.spark, self.root, entries, known, trust, **self.options), base, rebuild=mode == "rebuild")
             except StaleScan:
                 if not left:
                     raise

@@ -7,7 +7,9 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plumbline.operators.filters import (
@@ -93,6 +95,15 @@ def decoded(data: bytes) -> str | None:
         return None
 
 
+def content(root: str, path: str, most: int) -> tuple[str | None, str | None, str | None]:
+    """(sha256, text, reason for being skipped) of a file."""
+    data, why = safe_read(root, path, most)
+    if data is None:
+        return None, None, why
+    text = None if binary(data) else decoded(data)
+    return hashlib.sha256(data).hexdigest(), text, "binary" if text is None else None
+
+
 class Batch(InputPartition):
     def __init__(self, entries: list[tuple]) -> None:
         super().__init__(len(entries))
@@ -186,12 +197,8 @@ class TreeReader(DataSourceReader):
             if reason or kind != "file":
                 yield path, kind, language, size, mtime, ctime, None, None, reason
                 continue
-            data, why = safe_read(self.root, path, self.opt["maxFileBytes"])
-            text = None
-            if data is not None:
-                text = None if binary(data) else decoded(data)
-                why = "binary" if text is None else None
-            yield path, kind, language, size, mtime, ctime, hashlib.sha256(data).hexdigest() if data is not None else None, text, why
+            sha, text, why = content(self.root, path, self.opt["maxFileBytes"])
+            yield path, kind, language, size, mtime, ctime, sha, text, why
 
 
 class TreeSource(DataSource):
@@ -206,6 +213,52 @@ class TreeSource(DataSource):
         return TreeReader(dict(self.options))
 
 
+def list_tree(path: str, **options: int) -> list[tuple]:
+    """(path, type, size, mtime, ctime, reason) of every entry of a tree, without reading a file."""
+    return list(TreeReader({"path": path, **options})._entries())
+
+
+def read_changed(spark: SparkSession, path: str, entries: list[tuple], known: DataFrame | None, trust: bool = True, **options: int) -> DataFrame:
+    """The rows of ``read_tree`` for listed entries, each with old_sha and was_stale of ``known`` (path, size_bytes, mtime_ns,
+    ctime_ns, sha256, stale). With ``trust``, files whose size and times are the known ones are not read: they have neither
+    text nor sha256 nor reason. One join decides; the driver only lists names.
+    """
+    root = os.path.realpath(path)
+    most = int(options.get("maxFileBytes", OPTIONS["maxFileBytes"]))
+    rows = listed(spark, entries)
+    if known is None:
+        rows = rows.withColumns({"old_sha": F.lit(None).cast("string"), "was_stale": F.lit(False), "same": F.lit(False)})
+    else:
+        old = known.select("path", F.struct("size_bytes", "mtime_ns", "ctime_ns").alias("_stat"), F.col("sha256").alias("old_sha"), F.col("stale").alias("was_stale"))
+        same = (F.col("_stat") == F.struct("size_bytes", "mtime_ns", "ctime_ns")) & ~F.col("was_stale") & F.lit(trust)
+        rows = rows.join(old, "path", "left").withColumns({"was_stale": F.coalesce("was_stale", F.lit(False)), "same": F.coalesce(same, F.lit(False))}).drop("_stat")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                got = []
+                for name, kind, reason, same in zip(*(part.column(c).to_pylist() for c in ("path", "entry_type", "reason", "same"))):
+                    is_file = kind == "file"
+                    sha, text, why = content(root, name, most) if is_file and not same and not reason else (None, None, reason)
+                    got.append((language_of_path(name) if is_file else None, sha, text, why))
+                found = [pa.array([g[i] for g in got], pa.string()) for i in range(4)]
+                kept = [part.column(c) for c in ("path", "entry_type", "size_bytes", "mtime_ns", "ctime_ns", "old_sha", "was_stale")]
+                yield pa.RecordBatch.from_arrays([*kept, *found], READ)
+
+    return rows.mapInArrow(read, "path string, entry_type string, size_bytes long, mtime_ns long, ctime_ns long, old_sha string, was_stale boolean, language string, sha256 string, text string, reason string")
+
+
+READ = ["path", "entry_type", "size_bytes", "mtime_ns", "ctime_ns", "old_sha", "was_stale", "language", "sha256", "text", "reason"]
+LISTED = pa.schema([("path", pa.string()), ("entry_type", pa.string()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64()), ("ctime_ns", pa.int64()), ("reason", pa.string())])
+
+
+def listed(spark: SparkSession, entries: list[tuple]) -> DataFrame:
+    """Entries as rows, in as many parts as the driver's default."""
+    names = LISTED.names
+    return spark.createDataFrame(pa.Table.from_pydict({n: [e[i] for e in entries] for i, n in enumerate(names)}, LISTED))
+
+
 def read_tree(spark: SparkSession, path: str, **options: int) -> DataFrame:
     """Every entry of a tree with its reason for being skipped, if any; accepted files have a text."""
     spark.dataSource.register(TreeSource)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli
-from plumbline.plans import report
+from plumbline.plans import engine, report
 from plumbline.plans.engine import Engine, Evidence
 from plumbline.plans.store import FactStore, StaleScan, StoreError
 from plumbline.sources.tree import read_tree
@@ -41,7 +41,9 @@ def test_tree_source(spark, tree):
     assert any(r.reason == "repository_budget" for r in read_tree(spark, str(tree), maxEntries=3).collect())
 
 
-def test_generations(spark, tree, tmp_path):
+@pytest.mark.parametrize("few", [0, 200])
+def test_generations(spark, tree, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(engine, "FEW", few)  # 0: every change goes through Spark, not through the driver
     e = Engine(spark, str(tree), str(tmp_path / "store"), maxFileBytes=100_000)
     with pytest.raises(StoreError):
         e.scan("never")
@@ -65,6 +67,26 @@ def test_generations(spark, tree, tmp_path):
     assert len(e.store.clean()) >= 1 and e.store.status()["n_files"] == 5
 
 
+def test_files_are_read_once_and_only_when_changed(spark, tree, tmp_path):
+    for i in range(5):
+        (tree / f"m{i}.py").write_text(f"V = {i}\n")
+    e = Engine(spark, str(tree), str(tmp_path / "store"), maxFileBytes=100_000)
+    e.scan()
+    old = os.stat(tree / "m1.py")
+    (tree / "m1.py").write_text("V = 9\n")
+    os.utime(tree / "m1.py", ns=(old.st_atime_ns, old.st_mtime_ns))
+    assert e.scan().changed == 1  # the time of the inode tells, although size and mtime are the same
+    (tree / "m2.py").chmod(0)
+    assert e.scan("auto").unchanged >= 10 and e.store.status()["n_files"] == 11
+    (tree / "m2.py").chmod(0o644)
+    for i in range(12):  # more changes than parts
+        (tree / "m3.py").write_text(f"W_{i} = 1\n\ndef f_{i}():\n    pass\n")
+        assert e.scan().changed == 1
+    assert [r.name for r in e.store.table("symbols").where("path = 'm3.py'").collect()] == ["f_11"] and len(e.store.pointer().parts) <= 9
+    assert e.store.table("files").count() == 11 and e.store.table("files").select("path").distinct().count() == 11
+    assert e.scan("rebuild").unchanged == 11 and len(e.store.pointer().parts) == 1
+
+
 def test_stale_commits_are_rejected(spark, tree, tmp_path):
     store = FactStore(spark, str(tmp_path / "store"))
     base, scan = store.pointer(), read_tree(spark, str(tree))
