@@ -35,8 +35,8 @@ def sub_terms(text: Column) -> Column:
 
 
 def document_terms(*texts: Column) -> Column:
-    """Distinct words and parts of words of several texts, without stop words; nulls count as empty."""
-    both = F.concat(*[F.concat(word_terms(F.coalesce(t, F.lit(""))), sub_terms(F.coalesce(t, F.lit("")))) for t in texts])
+    """Distinct words, parts of words and CJK grams of several texts, without stop words; nulls count as empty."""
+    both = F.concat(*[F.concat(word_terms(t), sub_terms(t), cjk_grams(F.lower(t))) for t in (F.coalesce(t, F.lit("")) for t in texts)])
     return F.array_distinct(F.filter(both, lambda x: ~x.isin(*STOP_WORDS)))
 
 
@@ -45,6 +45,33 @@ def query_terms(text: Column) -> Column:
     return F.slice(F.transform(document_terms(text), lambda x: F.substring(x, 1, LONGEST_TERM)), 1, MOST_QUERY_TERMS)
 
 
+def expansions(text: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Terms that a question did not say but may mean: other forms of its terms, and the terms of configured synonyms of the whole
+    question or of a term. At most 64 with those it did say."""
+    said = query_terms(text)
+    forms = F.flatten(F.transform(said, morph_variants))
+    if synonyms:
+        table = F.create_map(*[F.lit(x) for k, v in synonyms.items() for x in (k.strip().lower(), " ".join(v))])
+        keys = F.array_union(F.array(F.lower(F.trim(text))), said)
+        forms = F.concat(forms, F.flatten(F.transform(F.filter(keys, lambda k: F.map_contains_key(table, k)), lambda k: query_terms(table[k]))))
+    more = F.array_except(F.filter(forms, lambda x: ~x.isin(*STOP_WORDS)), said)
+    return F.slice(more, F.lit(1), F.greatest(F.lit(0), F.lit(MOST_QUERY_TERMS) - F.size(said)))
+
+
+def is_identifier(text: Column) -> Column:
+    """Whether a question is one name, in snake or camel case."""
+    return ~F.trim(text).rlike(r"\s") & (F.contains(text, F.lit("_")) | text.rlike("[a-z0-9][A-Z]"))
+
+
+def literal_groups(text: Column) -> Column:
+    """What a question says literally, as (group, term): each word is a group of its own; a word with CJK letters is a group of its
+    grams, of which one is enough. A question that is one identifier is its first word only."""
+    words = F.array_distinct(F.filter(word_terms(text), lambda t: ~t.isin(*STOP_WORDS)))
+    words = F.when(is_identifier(text), F.slice(words, 1, 1)).otherwise(words)
+    each = F.transform(words, lambda w, i: F.transform(F.when(w.rlike(CJK), cjk_grams(w)).otherwise(F.array(w)), lambda t: F.struct(i.alias("group"), t.alias("term"))))
+    return F.flatten(each)
+
+
 def cjk_grams(text: Column) -> Column:
     """Bigrams and trigrams of each run of CJK characters; a run of one character stands for itself."""
 
@@ -66,11 +93,13 @@ def morph_variants(term: Column) -> Column:
         return F.concat(F.array(base, F.concat(base, F.lit("e"))), F.when(doubled, F.array(F.substring(base, F.lit(1), F.length(base) - 1))).otherwise(F.array().cast("array<string>")))
 
     none = F.array().cast("array<string>")
+    plain = term.rlike("^[a-zA-Z0-9]+$")
     return (
-        F.when(term.endswith("ies") & (n > 4), F.array(F.concat(F.substring(term, F.lit(1), n - 3), F.lit("y"))))
-        .when(term.endswith("ing") & (n > 5), stem(3))
-        .when(term.endswith("ed") & (n > 4), stem(2))
-        .when(term.endswith("s") & ~term.endswith("ss") & (n > 3), F.array(F.substring(term, F.lit(1), n - 1)))
+        F.when(~plain, none)
+        .when(term.endswith("ies") & (n >= 5), F.array(F.concat(F.substring(term, F.lit(1), n - 3), F.lit("y"))))
+        .when(term.endswith("ing") & (n >= 7), stem(3))
+        .when(term.endswith("ed") & (n >= 6), stem(2))
+        .when(term.endswith("s") & ~term.endswith("ss") & (n >= 5), F.array(F.substring(term, F.lit(1), n - 1)))
         .otherwise(none)
     )
 

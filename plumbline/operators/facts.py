@@ -104,27 +104,49 @@ def crossing_regions(regions: DataFrame) -> DataFrame:
     return a.join(b, cross).select("a.file_id", F.col("a.region_id").alias("first_id"), F.col("b.region_id").alias("second_id"))
 
 
-#: Import statements by language, plain enough for every regular-expression engine; the target is group 1, or group 2.
-IMPORTS = {
-    "python": r"^[ \t]*(?:from[ \t]+([.A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]|import[ \t]+([A-Za-z_][A-Za-z0-9_.]*))",
-    "javascript": r"""^[ \t]*(?:(?:import|export)[ \t][^'"]*from[ \t]*["']([^"']+)["']|(?:import|.*require\(|.*import\()[ \t]*["']([^"']+)["'])""",
-    "go": r"""^[ \t]*(?:import[ \t]+(?:[A-Za-z_.]+[ \t]+)?"([^"]+)"|(?:[A-Za-z_.]+[ \t]+)?"([^"]+\.[^"]+/[^"]+)"[ \t]*$)""",
-    "rust": r"^[ \t]*(?:pub[ \t]+)?(?:use[ \t]+([A-Za-z_][A-Za-z0-9_:]*[A-Za-z0-9_])|mod[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*;)",
-    "java": r"^[ \t]*import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_])()",
-    "c": r"""^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)[>"]()""",
+#: Import statements by language, over several lines where the language allows it, plain enough for every regular-expression engine.
+STATEMENTS = {
+    "python": r"(?m)^[ \t]*(?:from[ \t]+[.A-Za-z_][A-Za-z0-9_.]*[ \t]+import[ \t]*(?:\([^()]*\)|[^()\n#;]+)|import[ \t]+[A-Za-z_][^\n#;]*)",
+    "javascript": r"""(?m)^[ \t]*(?:(?:import|export)[ \t{*][^'";()]*from[ \t]*["'][^"'\n]+["']|import[ \t]*["'][^"'\n]+["']|[^\n'"]*\b(?:require|import)\([ \t]*["'][^"'\n]+["'])""",
+    "go": r"""(?m)^import[ \t]*(?:\([^()]*\)|(?:[A-Za-z_.][A-Za-z0-9_.]*[ \t]+)?"[^"\n]+")""",
+    "rust": r"(?m)^[ \t]*(?:pub[ \t]+)?(?:use[ \t]+[A-Za-z_][A-Za-z0-9_:]*[A-Za-z0-9_]|mod[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*;)",
+    "java": r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?[A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_]",
+    "c": r"""(?m)^[ \t]*#[ \t]*include[ \t]*[<"][^>"\n]+[>"]""",
 }
-IMPORTS["typescript"], IMPORTS["cpp"] = IMPORTS["javascript"], IMPORTS["c"]
+STATEMENTS["typescript"], STATEMENTS["cpp"] = STATEMENTS["javascript"], STATEMENTS["c"]
+#: Where the target stands in a statement that has one or more of one form.
+TARGETS = {
+    "javascript": r"""["']([^"']+)["']""", "go": r'"([^"]+)"', "rust": r"(?:use|mod)[ \t]+([A-Za-z_][A-Za-z0-9_:]*)", "java": r"import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)", "c": r"""[<"]([^>"]+)[>"]""",
+}
+TARGETS["typescript"], TARGETS["cpp"] = TARGETS["javascript"], TARGETS["c"]
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """(repo, source_path, language, line, target) of every import statement, line by line."""
-    rows = line_rows(files.where(F.col("language").isin(*IMPORTS) & F.col("text").isNotNull()), "repo", "path", "language")
+def import_targets(statement: Column, language: Column) -> Column:
+    """What an import statement names: several modules of a list, each name imported from a package by dots alone, or its target."""
+    flat = F.regexp_replace(F.regexp_replace(statement, r"#[^\n]*", ""), r"[\s\\()]+", " ")
+    origin = F.regexp_extract(flat, r"^ *from ([.A-Za-z_][A-Za-z0-9_.]*) import", 1)
+    names = F.filter(F.transform(F.split(F.regexp_replace(flat, "^ *(?:from [^ ]+ )?import", ""), ","), lambda x: F.regexp_extract(x, r"^ *([A-Za-z_*][A-Za-z0-9_.]*)", 1)), lambda x: x != "")
+    python = F.when(origin == "", names).when(origin.rlike(r"^\.+$"), F.transform(names, lambda x: F.concat(origin, x))).otherwise(F.array(origin))
+    others = F.coalesce(*[F.when(language == x, F.regexp_extract_all(statement, F.lit(p), F.lit(1))) for x, p in TARGETS.items()])
+    return F.when(language == "python", python).otherwise(others)
 
-    def group(k: int) -> Column:
-        return F.coalesce(*[F.when(F.col("language") == x, F.regexp_extract("content", p, k)) for x, p in IMPORTS.items()])
 
-    target = F.when(group(1) != "", group(1)).otherwise(group(2))
-    return rows.select("repo", F.col("path").alias("source_path"), "language", "line", target.alias("target")).where("target <> ''")
+def dependencies(files: DataFrame) -> DataFrame:
+    """(repo, source_path, language, line, target) of every import, with the line on which its statement begins.
+
+    Statements are found in whole texts, so they may go over several lines; one statement gives a row for each target.
+    """
+    known = F.col("language")
+    rows = files.where(known.isin(*STATEMENTS) & F.col("text").isNotNull()).select("repo", F.col("path").alias("source_path"), "language", "text")
+    marked = F.coalesce(*[F.when(known == x, F.regexp_replace("text", p, "\u0001$0\u0002")) for x, p in STATEMENTS.items()])
+    parts = F.split(marked, "\u0001", -1)
+    # The line of a statement: line feeds in all parts before it.
+    feeds = F.transform(parts, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    before = F.aggregate(feeds, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    found = rows.select("repo", "source_path", "language", F.posexplode(parts).alias("i", "part"), before.alias("before")).where("i > 0")
+    statement = F.substring_index("part", "\u0002", 1)
+    each = found.select("repo", "source_path", "language", (F.get("before", F.col("i")) + 1).alias("line"), F.explode(import_targets(statement, known)).alias("target"))
+    return each.where("target <> ''")
 
 
 def entry_points(files: DataFrame) -> DataFrame:

@@ -16,12 +16,14 @@ def module_nodes(files: DataFrame, k: int = 20) -> DataFrame:
     return top_k(g, ["repo"], [F.desc("n_files"), F.col("label")], k).select("repo", "label", X.node_id(F.col("label")).alias("node_id"), "n_files", "witness")
 
 
-def module_edges(edges: DataFrame, k: int = 40) -> DataFrame:
-    """Imports between groups with their number and first witness, the k largest of each repository."""
-    rows = edges.select("repo", X.module_group(F.col("source_path")).alias("source"), X.module_group(F.col("target_path")).alias("target"), "source_path", "target_path").where("source <> target")
-    g = rows.groupBy("repo", "source", "target").agg(F.count(F.lit(1)).alias("n_edges"), F.min(F.struct("source_path", "target_path")).alias("w"))
+def module_edges(targets: DataFrame, k: int = 40) -> DataFrame:
+    """Imports between groups with their number and the first of them as evidence, the k largest of each repository.
+
+    ``targets`` has (repo, source_path, line, target, target_path)."""
+    rows = targets.select("repo", X.module_group(F.col("source_path")).alias("source"), X.module_group(F.col("target_path")).alias("to"), "source_path", "line", F.col("target").alias("import_target"))
+    g = rows.where("source <> to").groupBy("repo", "source", F.col("to").alias("target")).agg(F.count(F.lit(1)).alias("n_edges"), F.min(F.struct("source_path", "line", "import_target")).alias("w"))
     out = top_k(g, ["repo"], [F.desc("n_edges"), F.col("source"), F.col("target")], k)
-    return out.select("repo", "source", "target", "n_edges", F.col("w.source_path").alias("witness"))
+    return out.select("repo", "source", "target", "n_edges", F.col("w.source_path").alias("witness"), F.col("w.line").cast("long").alias("line"), F.col("w.import_target").alias("import_target"))
 
 
 def layout(files: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def confusion(answered: Column, answerable: Column) -> list[Column]:
     fp = F.sum((~answered & answerable).cast("long"))
     fn = F.sum((answered & ~answerable).cast("long"))
     tn = F.sum((answered & answerable).cast("long"))
-    return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), F.round(F.try_divide(tp, tp + fp), 6).alias("precision"), F.round(F.try_divide(tp, tp + fn), 6).alias("recall"), F.round(F.try_divide(tp + tn, tp + fp + fn + tn), 6).alias("accuracy")]
+    return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), F.round(F.try_divide(tp, tp + fp), 6).alias("precision"), F.round(F.try_divide(tp, tp + fn), 6).alias("recall"), F.round(F.try_divide(tp + tn, tp + fp + fn + tn), 6).alias("accuracy"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1")]
 
 
 def last_turns(rows: DataFrame, group: str, order: list[Column], text: str, turns: int = 3, cut: int = 600) -> DataFrame:

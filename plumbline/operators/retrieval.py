@@ -44,20 +44,24 @@ def corpus_stats(chunks: DataFrame, weights: dict[str, float] | None = None) ->
     return chunks.select(n.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"))
 
 
-def bm25(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(qid, chunk_id, score) of every chunk that has a token of the question; higher is better.
+def bm25(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score) of every chunk that has a token of the question; higher is better. With ``fresh`` (chunk_id) only these
+    come out, while the statistics are those of all chunks.
 
     Postings are cut to the questions' tokens before their document frequencies are counted; the corpus statistics are
-    one row. A token in more than half of all chunks counts almost nothing, as in the usual full-text engines.
+    subqueries of one value. A token in more than half of all chunks counts almost nothing, as in the usual full-text
+    engines. Tokens that many questions ask for and many chunks hold are joined where they lie.
     """
     asked = question_tokens(qs)
     posts = postings(chunks, weights)
     some = posts.join(asked.select("token").distinct(), "token", "left_semi")
     df = some.groupBy("token").agg(F.count(F.lit(1)).alias("n_p"))
-    n, avg_d = corpus_stats(chunks, weights).first()
-    raw = F.log((F.lit(float(n)) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    stats = corpus_stats(chunks, weights)
+    n, avg_d = stats.select("n").scalar(), F.coalesce(stats.select("avg_d").scalar(), F.lit(1.0))
+    raw = F.log((n - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.lit(float(avg_d or 1.0))))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg_d))
+    some = some if fresh is None else some.join(fresh, "chunk_id", "left_semi")
     scored = asked.join(df, "token").join(some, "token").select("qid", "chunk_id", part.alias("part"))
     return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
@@ -67,28 +71,35 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(T.document_terms(F.col("file_path"), F.col("symbol"), F.col("content"))).alias("term"))
 
 
-def term_matches(qs: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, chunk_id, matches): how many terms of the question a chunk has."""
-    asked = qs.select("qid", F.explode(T.query_terms(F.col("question"))).alias("term"))
+Synonyms = dict[str, list[str]]
+
+
+def term_matches(qs: DataFrame, index: DataFrame, synonyms: Synonyms | None = None) -> DataFrame:
+    """(qid, chunk_id, matches): how many terms of the question, said or expanded, a chunk has."""
+    question = F.col("question")
+    asked = qs.select("qid", F.explode(F.concat(T.query_terms(question), T.expansions(question, synonyms))).alias("term"))
     return asked.join(index, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def covered(qs: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, chunk_id) of chunks that have at least two literal terms of the question, or its only one."""
-    literal = F.array_distinct(F.filter(T.word_terms(F.col("question")), lambda t: ~t.isin(*T.STOP_WORDS)))
-    rows = qs.select("qid", literal.alias("ts")).withColumn("need", F.least(F.lit(2), F.size("ts")))
-    hits = rows.select("qid", "need", F.explode("ts").alias("term")).join(index, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    """(qid, chunk_id) of chunks that have terms of at least two literal groups of the question, or of its only one. What a question
+    was expanded by does not count here."""
+    rows = qs.select("qid", T.literal_groups(F.col("question")).alias("ts"))
+    rows = rows.withColumn("need", F.least(F.lit(2), F.size(F.array_distinct(F.transform("ts", lambda t: t["group"])))))
+    each = rows.select("qid", "need", F.explode("ts").alias("t")).select("qid", "need", "t.group", "t.term")
+    hits = each.join(index, "term").groupBy("qid", "chunk_id").agg(F.count_distinct("group").alias("n"), F.max("need").alias("need"))
     return hits.where("n >= need").select("qid", "chunk_id")
 
 
-def lexical(qs: DataFrame, chunks: DataFrame, k: int = 64) -> DataFrame:
+def lexical(qs: DataFrame, chunks: DataFrame, k: int = 64, fresh: DataFrame | None = None, synonyms: Synonyms | None = None) -> DataFrame:
     """(qid, chunk_id, strength, position): BM25 and term matches merged by the better rank, gated by coverage, top k."""
-    index = chunk_terms(chunks)
+    live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
+    index = chunk_terms(live)
     ok = covered(qs, index)
-    a = bm25(qs, chunks).withColumn("strength", F.col("score")).select("qid", "chunk_id", "strength")
-    b = term_matches(qs, index).select("qid", "chunk_id", F.col("matches").cast("double").alias("strength"))
+    a = bm25(qs, chunks, fresh=fresh).withColumn("strength", F.col("score")).select("qid", "chunk_id", "strength")
+    b = term_matches(qs, index, synonyms).select("qid", "chunk_id", F.col("matches").cast("double").alias("strength"))
     both = a.unionByName(b).groupBy("qid", "chunk_id").agg(F.max("strength").alias("strength")).join(ok, ["qid", "chunk_id"], "left_semi")
-    placed = both.join(chunks.select("chunk_id", "file_path", "start_line"), "chunk_id")
+    placed = both.join(live.select("chunk_id", "file_path", "start_line"), "chunk_id")
     return top_k(placed, ["qid"], [F.desc("strength"), F.col("file_path"), F.col("start_line"), F.col("chunk_id")], k, "position").select("qid", "chunk_id", "strength", "position")
 
 
@@ -99,20 +110,32 @@ def grams(text: Column, width: int = 4) -> Column:
     return F.array_distinct(many)
 
 
-def symbol_matches(qs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(qid, symbol_id, match, priority): symbols that equal the question (exact) or contain a part of it of 4 letters or more (partial).
+def symbol_matches(qs: DataFrame, symbols: DataFrame, k: int = 64, synonyms: Synonyms | None = None) -> DataFrame:
+    """(qid, symbol_id, match, priority): the k best symbols of each question, by priority, name, path and line.
 
-    Containment is an equality join on the part's first four letters against all four-letter substrings of the names,
-    then checked in full: nothing is compared pairwise that shares no substring.
+    0 exact: the name is the question or a term it says; 1 expanded: the name is a term it was expanded by; 2 expanded: the
+    name contains such a term of 4 letters or more; 3 partial: the name contains the question, or a term of 4 letters or more.
+    Containment is an equality join on the part's first four letters (all, if it has fewer) against the names' substrings
+    of that width, then checked in full: nothing is compared pairwise that shares no substring.
     """
     names = symbols.select("symbol_id", F.lower("name").alias("name"))
-    whole = qs.select("qid", F.lower("question").alias("name")).join(names, "name").select("qid", "symbol_id", F.lit(0).alias("priority"))
-    parts = qs.select("qid", F.explode(F.array_distinct(F.filter(T.sub_terms(F.col("question")), lambda t: F.length(t) >= 4))).alias("part"))
-    cells = names.select("symbol_id", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    question = F.col("question")
+    whole = F.array(F.lower(F.trim(question)))
+    said, more = T.query_terms(question), T.expansions(question, synonyms)
+
+    def asked(terms: Column, priority: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("part"), F.lit(priority).alias("priority")))
+
+    long = lambda terms: F.filter(terms, lambda t: F.length(t) >= 4)
+    equal = qs.select("qid", F.explode(F.concat(asked(F.array_union(whole, said), 0), asked(more, 1))).alias("a")).select("qid", F.col("a.part").alias("name"), "a.priority")
+    parts = qs.select("qid", F.explode(F.concat(asked(long(more), 2), asked(F.array_union(whole, long(said)), 3))).alias("a")).select("qid", "a.part", "a.priority").where("part <> ''")
+    cells = names.select("symbol_id", "name", F.explode(F.array_distinct(F.concat(*[grams(F.col("name"), w) for w in (1, 2, 3, 4)]))).alias("gram"))
     hit = parts.withColumn("gram", F.substring("part", 1, 4)).join(cells, "gram").where("instr(name, part) > 0")
-    both = whole.unionByName(hit.select("qid", "symbol_id", F.lit(2).alias("priority")))
-    best = both.groupBy("qid", "symbol_id").agg(F.min("priority").cast("long").alias("priority"))
-    return best.withColumn("match", F.when(F.col("priority") == 0, "exact").otherwise("partial"))
+    both = equal.join(names, "name").select("qid", "symbol_id", "priority").unionByName(hit.select("qid", "symbol_id", "priority"))
+    best = both.groupBy("qid", "symbol_id").agg(F.min("priority").cast("long").alias("priority")).join(symbols.select("symbol_id", "name", "path", "start_line"), "symbol_id")
+    kept = top_k(best, ["qid"], [F.col("priority"), F.lower("name"), F.col("path"), F.col("start_line"), F.col("symbol_id")], k)
+    match = F.when(F.col("priority") == 0, "exact").when(F.col("priority") < 3, "expanded").otherwise("partial")
+    return kept.select("qid", "symbol_id", "priority", match.alias("match"))
 
 
 def symbol_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -128,18 +151,70 @@ def aliases(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", F.explode(X.path_aliases(F.col("path"))).alias("alias")).select("repo", "alias", "path")
 
 
-def resolved_edges(deps: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, source_path, target_path): imports that name a file of the same repository, by aliases and equality joins."""
-    low = F.lower(F.regexp_replace("target", r"""["']""", ""))
-    folder = F.regexp_replace(F.lower("source_path"), "/?[^/]*$", "")
-    near = F.when(low.rlike(r"^\.\.?/"), F.regexp_replace(F.concat(folder, F.lit("/"), F.regexp_replace(low, r"^\./", "")), r"[^/]+/\.\./", ""))
-    dotted = F.when(low.rlike(r"^\.[a-z_]"), F.concat(folder, F.lit("/"), F.regexp_replace(F.substring(low, 2, 1000), r"\.", "/")))
+def folded_path(parts: Column) -> Column:
+    """Components without ``.``, each ``..`` taking away the one before it, joined by slashes."""
+    kept = F.aggregate(
+        F.filter(parts, lambda p: (p != "") & (p != ".")),
+        F.array().cast("array<string>"),
+        lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))),
+    )
+    return F.array_join(kept, "/")
+
+
+def import_names(target: Column, source_path: Column) -> Column:
+    """Names under which the file that an import means may be known: as it is written, with dots or slashes, relative to the
+    importing file (any number of ``../`` or leading dots), without a final .py, and without crate, self or super."""
+    low = F.lower(F.regexp_replace(F.regexp_replace(F.trim(target), r"""^["']+|["']+$""", ""), r"\\", "/"))
+    parts = F.split(F.lower(source_path), "/")
+    folder = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    steps = low.rlike(r"^\.\.?/")
+    near = F.when(steps, folded_path(F.concat(folder, F.split(low, "/"))))
+    level = F.length(F.regexp_extract(low, r"^(\.*)", 1))
+    above = F.slice(folder, F.lit(1), F.greatest(F.size(folder) - level + 1, F.lit(0)))
+    dotted = F.when(~steps & low.startswith("."), folded_path(F.concat(above, F.split(F.regexp_replace(low, r"^\.+", ""), r"\."))))
     plain = F.when(~low.startswith("."), low)
-    slashed = F.when(~low.startswith("."), F.regexp_replace(low, "::|/", "."))
-    tail = F.when(low.rlike(r"^(crate|self|super)::"), F.regexp_replace(F.regexp_replace(low, r"^(crate|self|super)::", ""), "::", "."))
-    forms = F.array_distinct(F.filter(F.array(near, dotted, plain, slashed, tail), lambda x: x.isNotNull()))
-    wanted = deps.select("repo", "source_path", F.explode(forms).alias("alias"))
-    return wanted.join(aliases(files), ["repo", "alias"]).select("repo", "source_path", F.col("path").alias("target_path")).where("source_path <> target_path").distinct()
+    inner = F.when(low.rlike(r"^(crate|self|super)::"), F.regexp_replace(F.regexp_replace(low, r"^((crate|self|super)::)+", ""), "::", "."))
+    base = F.filter(F.array(near, dotted, plain, inner), lambda x: x.isNotNull() & (x != ""))
+    forms = F.flatten(F.transform(base, lambda x: F.array(x, F.regexp_replace(x, "::|/", "."), F.when(F.contains(x, F.lit("/")), x).otherwise(F.regexp_replace(x, r"\.|::", "/")), F.regexp_replace(x, r"\.py$", ""))))
+    return F.array_distinct(F.filter(forms, lambda x: x != ""))
+
+
+def resolved_imports(deps: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, source_path, line, target, target_path): imports that name a file of the same repository, by aliases and equality joins."""
+    wanted = deps.select("repo", "source_path", "line", "target", F.explode(import_names(F.col("target"), F.col("source_path"))).alias("alias")).distinct()
+    found = wanted.join(aliases(files), ["repo", "alias"]).select("repo", "source_path", "line", "target", F.col("path").alias("target_path"))
+    return found.where("source_path <> target_path").distinct()
+
+
+def resolved_edges(deps: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, source_path, target_path) of these imports."""
+    return resolved_imports(deps, files).select("repo", "source_path", "target_path").distinct()
+
+
+def import_edges(deps: DataFrame, files: DataFrame) -> DataFrame:
+    """Imports by either rule: by an alias of the file, or by the longest prefix that names a module."""
+    return module_targets(deps, files).unionByName(resolved_imports(deps, files)).distinct()
+
+
+#: Languages whose files are modules.
+MODULES = ("python", "javascript", "typescript", "go", "rust", "java", "c", "cpp")
+
+
+def module_targets(deps: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, source_path, line, target, target_path): the file whose dotted name is the longest prefix of an import's target.
+
+    Names leave out a leading src or lib, the suffix and a final __init__; case does not matter and a hyphen is an underscore.
+    Of several files with one name the first path holds. Equality joins on the prefixes, of which a target has few.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.lower("path"), r"\.[^./]*$", ""), "^(src|lib)/", "")
+    named = files.where(F.col("language").isin(*MODULES)).select("repo", "path", F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "/?__init__$", ""), "-", "_"), "/", ".").alias("name"))
+    named = named.where("name <> ''").groupBy("repo", "name").agg(F.min("path").alias("target_path"))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim("target")), r"^[./]+", ""), "-", "_"), "/|::", ".")
+    parts = F.split(plain, r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("size"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("name")))
+    rows = deps.select("repo", "source_path", "line", "target", F.explode(prefixes).alias("p")).select("repo", "source_path", "line", "target", "p.size", "p.name")
+    best = rows.join(named, ["repo", "name"]).groupBy("repo", "source_path", "line", "target").agg(F.max_by("target_path", "size").alias("target_path"))
+    return best.where("source_path <> target_path")
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,23 +226,29 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "repo", "path").agg(F.min(F.struct("direction", "seed_path")).alias("m")).select("qid", "repo", "path", "m.seed_path", "m.direction")
 
 
-def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFrame, deps: DataFrame, limit: int = 8) -> DataFrame:
-    """Ranked evidence: 8 * strength / best + 2 / position, 24 or 12 for an exact or partial symbol, and a share of a seed's score
-    for its neighbours' first chunks. Uses the shared folder. (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
-    best = F.max("strength").over(Window.partitionBy("qid"))  # at most k rows of a question
-    a = lexical(qs, chunks).withColumn("top", best).select("qid", "chunk_id", (8 * F.greatest("strength", F.lit(0.0)) / F.greatest("top", F.lit(1e-12)) + 2 / F.col("position")).alias("score"), F.lit("full-text match").alias("reason"))
-    home = symbol_chunks(symbols, chunks)
-    found = symbol_matches(qs, symbols).join(home, "symbol_id").join(symbols.select("symbol_id", "name"), "symbol_id")
+def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFrame, deps: DataFrame, limit: int = 8, fresh: DataFrame | None = None, synonyms: Synonyms | None = None) -> DataFrame:
+    """Ranked evidence: 8 * strength / best + 2 / position, 24, 10 or 12 for an exact, expanded or partial symbol, and a share of a
+    seed's score for its neighbours' first chunks; each kind of candidate is bounded by 8 * limit, 32 at least and 500 at
+    most. With ``fresh`` (chunk_id) only these chunks are evidence. Uses the shared folder.
+    (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
+    most = min(max(limit * 8, 32), 500)
+    live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
+    best = F.max("strength").over(Window.partitionBy("qid"))  # at most ``most`` rows of a question
+    a = lexical(qs, chunks, most, fresh, synonyms).withColumn("top", best).select("qid", "chunk_id", (8 * F.greatest("strength", F.lit(0.0)) / F.greatest("top", F.lit(1e-12)) + 2 / F.col("position")).alias("score"), F.lit("full-text match").alias("reason"))
+    home = symbol_chunks(symbols, live)
+    found = symbol_matches(qs, symbols, most, synonyms).join(home, "symbol_id").join(symbols.select("symbol_id", "name"), "symbol_id")
     one = found.groupBy("qid", "chunk_id").agg(F.min(F.struct("priority", "name")).alias("m"))
-    exact = F.col("m.priority") == 0
-    b = one.select("qid", "chunk_id", F.when(exact, 24.0).otherwise(12.0).alias("score"), F.concat(F.when(exact, "exact symbol match: ").otherwise("partial symbol match: "), F.col("m.name")).alias("reason"))
+    exact, expanded = F.col("m.priority") == 0, F.col("m.priority") < 3
+    said = F.when(exact, "exact symbol match: ").when(expanded, "query-expansion symbol match: ").otherwise("partial symbol match: ")
+    b = one.select("qid", "chunk_id", F.when(exact, 24.0).when(expanded, 10.0).otherwise(12.0).alias("score"), F.concat(said, F.col("m.name")).alias("reason"))
     direct = write_out(a.unionByName(b))  # used twice: for the seeds, and for the sums
-    place = chunks.select("chunk_id", "repo", F.col("file_path").alias("path"), "start_line", "end_line", "ordinal")
+    place = live.select("chunk_id", "repo", F.col("file_path").alias("path"), "start_line", "end_line", "ordinal")
     by_path = direct.groupBy("qid", "chunk_id").agg(F.sum("score").alias("score")).join(place, "chunk_id").groupBy("qid", "repo", "path").agg(F.max("score").alias("score"))
     seeds = top_k(by_path.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.col("path"), F.col("repo")], min(limit, 8)).select("qid", "repo", F.col("path").alias("seed_path"), F.col("score").alias("seed_score"))
     near = neighbours(seeds.select("qid", "repo", "seed_path"), resolved_edges(deps, files)).join(seeds, ["qid", "repo", "seed_path"])
     first = top_k(place, ["repo", "path"], [F.col("ordinal"), F.col("start_line"), F.col("chunk_id")], 1).select("repo", "path", "chunk_id")
-    c = near.join(first, ["repo", "path"]).select("qid", "chunk_id", F.greatest(F.lit(1.0), 0.25 * F.col("seed_score")).alias("score"), F.concat("direction", F.lit(" "), F.col("seed_path")).alias("reason"))
+    kept = top_k(near.join(first, ["repo", "path"]), ["qid"], [F.col("path"), F.col("repo")], most, "_place")
+    c = kept.select("qid", "chunk_id", F.greatest(F.lit(1.0), 0.25 * F.col("seed_score")).alias("score"), F.concat("direction", F.lit(" "), F.col("seed_path")).alias("reason"))
     merged = direct.unionByName(c).groupBy("qid", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
     ranked = top_k(merged.join(place, "chunk_id"), ["qid"], [F.desc("score"), F.col("path"), F.col("start_line"), F.col("chunk_id")], limit)
     return ranked.select("qid", "rank", "chunk_id", "path", "start_line", "end_line", "score", "reason")

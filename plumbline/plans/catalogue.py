@@ -46,16 +46,29 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return facts.clean_chunks(table(spark, d, "chunks"))
 
 
+def _fresh(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, path) of the files that retrieval may show."""
+    return facts.fresh(table(spark, d, "files")).select("repo", "path").distinct()
+
+
+def _live(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """Ids of the chunks of these files."""
+    return chunks.select("chunk_id", "repo", F.col("file_path").alias("path")).join(_fresh(spark, d), ["repo", "path"], "left_semi").select("chunk_id")
+
+
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of fresh files."""
     r = facts.clean_regions(table(spark, d, "regions")).where(F.col("symbol").isNotNull())
-    return r.select(F.col("region_id").alias("symbol_id"), "repo", F.col("file_path").alias("path"), F.col("symbol").alias("name"), "start_line", "end_line")
+    rows = r.select(F.col("region_id").alias("symbol_id"), "repo", F.col("file_path").alias("path"), F.col("symbol").alias("name"), "start_line", "end_line")
+    return rows.join(_fresh(spark, d), ["repo", "path"], "left_semi")
 
 
 # SQL that several queries share: clean views of the tables ---------------------------------------------------------------
 
 _SUFFIX = r"CASE lower(regexp_extract({p}, '\.([^./\\]*)$', 1)) " + " ".join(f"WHEN '{s}' THEN '{x}'" for s, x in BY_SUFFIX.items()) + " END"
 _FILES = f"f AS (SELECT DISTINCT * REPLACE (CASE WHEN language IN {_in(list(SUFFIXES))} THEN language ELSE {_SUFFIX.format(p='path')} END AS language) FROM files)"
-_CHUNKS = "c AS (SELECT DISTINCT * FROM chunks)"
+_CHUNKS = "c AS (SELECT DISTINCT * FROM chunks), ff AS (SELECT DISTINCT repo, path FROM files WHERE provenance = 'source' AND NOT stale), cf AS (SELECT c.* FROM c JOIN ff ON ff.repo = c.repo AND ff.path = c.file_path)"
+_FRESH_FILES = _FILES.removesuffix(")") + " WHERE provenance = 'source' AND NOT stale)"
 _REGIONS = "r AS (SELECT DISTINCT * FROM regions)"
 _USABLE = "u AS (SELECT DISTINCT * FROM regions WHERE start_line >= 1 AND end_line >= start_line)"
 _N = "(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END) END)"
@@ -209,9 +222,21 @@ def chunk_overlap_check(spark: SparkSession, d: str) -> DataFrame:
     return facts.crossing_regions(table(spark, d, "regions"))
 
 
-_IMPORT = {x: p.replace("'", "''") for x, p in facts.IMPORTS.items()}
-_TARGET = "CASE language " + " ".join(f"WHEN '{x}' THEN CASE WHEN regexp_extract(content, '{p}', 1) <> '' THEN regexp_extract(content, '{p}', 1) ELSE regexp_extract(content, '{p}', 2) END" for x, p in _IMPORT.items()) + " END"
-_DEPS = f"{_LINES}, dep AS (SELECT * FROM (SELECT repo, path AS source_path, language, line, {_TARGET} AS target FROM l) WHERE target <> '')"
+def _by_language(of: Callable[[str], str]) -> str:
+    return "CASE language " + " ".join(f"WHEN '{x}' THEN {of(x)}" for x in facts.STATEMENTS) + " END"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_ALL_TARGETS = _by_language(lambda x: f"regexp_extract_all(stm, {_quoted(facts.TARGETS[x])}, 1)" if x in facts.TARGETS else "CASE WHEN origin = '' THEN names WHEN regexp_matches(origin, '^\\.+$') THEN list_transform(names, lambda n: origin || n) ELSE [origin] END")
+_DEPS = rf"""mk AS (SELECT repo, path, language, string_split({_by_language(lambda x: rf"regexp_replace(text, {_quoted(facts.STATEMENTS[x])}, chr(1) || '\0' || chr(2), 'g')")}, chr(1)) AS ps FROM f WHERE text IS NOT NULL AND language IN {_in(list(facts.STATEMENTS))}),
+ pi AS (SELECT repo, path, language, ps, unnest(range(2, len(ps) + 1)) AS i FROM mk),
+ sx AS (SELECT repo, path, language, split_part(ps[i], chr(2), 1) AS stm, 1 + list_sum(list_transform(ps[1:i - 1], lambda x: length(x) - length(replace(x, chr(10), '')))) AS line FROM pi),
+ sn AS (SELECT *, regexp_replace(regexp_replace(stm, '#[^\n]*', '', 'g'), '[\s\\()]+', ' ', 'g') AS flat FROM sx),
+ so AS (SELECT *, regexp_extract(flat, '^ *from ([.A-Za-z_][A-Za-z0-9_.]*) import', 1) AS origin, list_filter(list_transform(string_split(regexp_replace(flat, '^ *(?:from [^ ]+ )?import', ''), ','), lambda x: regexp_extract(x, '^ *([A-Za-z_*][A-Za-z0-9_.]*)', 1)), lambda x: x <> '') AS names FROM sn),
+ dep AS (SELECT repo, path AS source_path, language, line::BIGINT AS line, target FROM (SELECT *, unnest({_ALL_TARGETS}) AS target FROM so) WHERE target <> '')"""
 
 
 @query(f"WITH {_FILES}, {_DEPS} SELECT * FROM dep")
@@ -253,7 +278,12 @@ def cjk_bigrams(spark: SparkSession, d: str) -> DataFrame:
 _STEM = "CASE WHEN substring(b, length(b), 1) = substring(b, length(b) - 1, 1) THEN [b, b || 'e', left(b, length(b) - 1)] ELSE [b, b || 'e'] END"
 
 
-@query(f"WITH {_CHUNKS}, w AS (SELECT DISTINCT unnest({_SUBS.format(c='content')}) AS term FROM c), b AS (SELECT term, CASE WHEN suffix(term, 'ies') AND length(term) > 4 THEN 'y' WHEN suffix(term, 'ing') AND length(term) > 5 THEN 'i' WHEN suffix(term, 'ed') AND length(term) > 4 THEN 'd' WHEN suffix(term, 's') AND NOT suffix(term, 'ss') AND length(term) > 3 THEN 's' END AS k FROM w), v AS (SELECT term, k, left(term, length(term) - CASE k WHEN 'y' THEN 3 WHEN 'i' THEN 3 WHEN 'd' THEN 2 ELSE 1 END) AS b FROM b WHERE k IS NOT NULL) SELECT term, unnest(CASE k WHEN 'y' THEN [b || 'y'] WHEN 's' THEN [b] ELSE {_STEM} END) AS variant FROM v")
+_KIND = "CASE WHEN NOT regexp_matches(term, '^[a-zA-Z0-9]+$') THEN NULL WHEN suffix(term, 'ies') AND length(term) >= 5 THEN 'y' WHEN suffix(term, 'ing') AND length(term) >= 7 THEN 'i' WHEN suffix(term, 'ed') AND length(term) >= 6 THEN 'd' WHEN suffix(term, 's') AND NOT suffix(term, 'ss') AND length(term) >= 5 THEN 's' END"
+_CUT = "left(term, length(term) - CASE k WHEN 'y' THEN 3 WHEN 'i' THEN 3 WHEN 'd' THEN 2 ELSE 1 END)"
+_FORMS = f"unnest(CASE k WHEN 'y' THEN [b || 'y'] WHEN 's' THEN [b] ELSE {_STEM} END)"
+
+
+@query(f"WITH {_CHUNKS}, w AS (SELECT DISTINCT unnest({_SUBS.format(c='content')}) AS term FROM c), b AS (SELECT term, {_KIND} AS k FROM w), v AS (SELECT term, k, {_CUT} AS b FROM b WHERE k IS NOT NULL) SELECT term, {_FORMS} AS variant FROM v")
 def morph_variants(spark: SparkSession, d: str) -> DataFrame:
     rows = _chunks(spark, d).select(F.explode(T.sub_terms(F.coalesce("content", F.lit("")))).alias("term")).distinct()
     return rows.select("term", F.explode(T.morph_variants(F.col("term"))).alias("variant"))
@@ -265,7 +295,7 @@ _WEIGHTED = " UNION ALL ".join(f"SELECT chunk_id, unnest({_TOKENS.format(c=c)})
 _BM25 = f"""{_QS}, tok AS (@SRC@), post AS (SELECT chunk_id, token, sum(w) AS f FROM tok GROUP BY ALL), dl AS (SELECT chunk_id, count(*) AS d FROM tok GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM c) AS n, (SELECT sum(d) FROM dl)::DOUBLE / (SELECT count(*) FROM c) AS avg_d), ask AS (SELECT DISTINCT qid, unnest({_TOKENS.format(c="question")}) AS token FROM q),
 df AS (SELECT token, count(*) AS n_p FROM post GROUP BY token), idf AS (SELECT token, CASE WHEN ln((n - n_p + 0.5e0) / (n_p + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((n - n_p + 0.5e0) / (n_p + 0.5e0)) END AS idf FROM df, st),
-bm AS (SELECT qid, chunk_id, round(sum(idf * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * d / avg_d))), 6) AS score FROM ask JOIN idf USING (token) JOIN post USING (token) JOIN dl USING (chunk_id), st GROUP BY ALL)"""
+bm AS (SELECT qid, chunk_id, round(sum(idf * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * d / avg_d))), 6) AS score FROM ask JOIN idf USING (token) JOIN post USING (token) JOIN dl USING (chunk_id) JOIN (SELECT chunk_id FROM cf) USING (chunk_id), st GROUP BY ALL)"""
 _BM_W, _BM_1 = _BM25.replace("@SRC@", _WEIGHTED), _BM25.replace("@SRC@", f"SELECT chunk_id, unnest({_TOKENS.format(c='content')}) AS token, 1e0 AS w FROM c")
 _TOP5 = "SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5"
 
@@ -277,13 +307,13 @@ def _top5(scored: DataFrame) -> DataFrame:
 @query(f"WITH {_CHUNKS}, {_BM_1} {_TOP5}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return _top5(retrieval.bm25(retrieval.questions(c), c, {"content": 1.0}))
+    return _top5(retrieval.bm25(retrieval.questions(c), c, {"content": 1.0}, _live(spark, d, c)))
 
 
 @query(f"WITH {_CHUNKS}, {_BM_W} {_TOP5}")
 def weighted_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return _top5(retrieval.bm25(retrieval.questions(c), c))
+    return _top5(retrieval.bm25(retrieval.questions(c), c, fresh=_live(spark, d, c)))
 
 
 @query(f"WITH {_CHUNKS}, tok AS ({_WEIGHTED}), dl AS (SELECT chunk_id, count(*) AS d FROM tok GROUP BY ALL) SELECT (SELECT count(*) FROM c) AS n, round((SELECT sum(d) FROM dl)::DOUBLE / (SELECT count(*) FROM c), 6) AS avg_d")
@@ -291,55 +321,63 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.corpus_stats(_chunks(spark, d)).select("n", F.round("avg_d", 6).alias("avg_d"))
 
 
-_TERMS = "ct AS (SELECT DISTINCT chunk_id, term FROM (" + " UNION ALL ".join(f"SELECT chunk_id, unnest(list_concat({_WORDS.format(c=c)}, {_SUBS.format(c=c)})) AS term FROM c" for c in ("file_path", "symbol", "content")) + f") WHERE term NOT IN {_STOP})"
-_ASK = f"qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(list_concat({_WORDS.format(c='question')}, {_SUBS.format(c='question')})) AS term FROM q) WHERE term NOT IN {_STOP})"
+_GRAMS = "flatten(list_transform(regexp_extract_all(lower(coalesce({c}, '')), '" + _CJK.replace("{", "{{").replace("}", "}}") + "'), lambda run: CASE WHEN length(run) = 1 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: substring(run, i, 2)), list_transform(range(1, length(run) - 1), lambda i: substring(run, i, 3))) END))"
+_SAID = f"list_concat(list_concat({_WORDS}, {_SUBS}), {_GRAMS})"
+_TERMS = "ct AS (SELECT DISTINCT chunk_id, term FROM (" + " UNION ALL ".join(f"SELECT chunk_id, unnest({_SAID.format(c=c)}) AS term FROM cf" for c in ("file_path", "symbol", "content")) + f") WHERE term NOT IN {_STOP})"
+_ASK = f"said AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({_SAID.format(c='question')}) AS term FROM q) WHERE term NOT IN {_STOP}), kinds AS (SELECT qid, term, {_KIND} AS k FROM said), more AS (SELECT DISTINCT qid, term FROM (SELECT qid, {_FORMS} AS term FROM (SELECT qid, k, {_CUT} AS b FROM kinds WHERE k IS NOT NULL)) WHERE term NOT IN {_STOP} EXCEPT SELECT * FROM said), qt AS (SELECT * FROM said UNION ALL SELECT * FROM more)"
 _MATCH = "tm AS (SELECT qid, chunk_id, count(*) AS matches FROM qt JOIN ct USING (term) GROUP BY ALL)"
-_COVER = f"lit AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({_WORDS.format(c='question')}) AS term FROM q) WHERE term NOT IN {_STOP}), need AS (SELECT qid, least(2, count(*)) AS need FROM lit GROUP BY qid), cov AS (SELECT qid, chunk_id FROM lit JOIN ct USING (term) JOIN need USING (qid) GROUP BY qid, chunk_id, need HAVING count(*) >= need)"
-_LEX = "mg AS (SELECT qid, chunk_id, max(s) AS strength FROM (SELECT qid, chunk_id, score AS s FROM bm UNION ALL SELECT qid, chunk_id, matches::DOUBLE FROM tm) GROUP BY ALL), lex AS (SELECT * FROM (SELECT qid, chunk_id, strength, row_number() OVER (PARTITION BY qid ORDER BY strength DESC, file_path, start_line, chunk_id) AS position FROM mg JOIN cov USING (qid, chunk_id) JOIN c USING (chunk_id)) WHERE position <= 64)"
+_COVER = f"ws AS (SELECT qid, question, list_filter({_WORDS.format(c='question')}, lambda x: x NOT IN {_STOP}) AS w FROM q), gr AS (SELECT DISTINCT qid, unnest(CASE WHEN NOT regexp_matches(trim(question), '\\s') AND (contains(question, '_') OR regexp_matches(question, '[a-z0-9][A-Z]')) THEN w[1:1] ELSE w END) AS grp FROM ws), lit AS (SELECT DISTINCT qid, grp, unnest(CASE WHEN regexp_matches(grp, '{_CJK}') THEN {_GRAMS.format(c='grp')} ELSE [grp] END) AS term FROM gr), need AS (SELECT qid, least(2, count(DISTINCT grp)) AS need FROM lit GROUP BY qid), cov AS (SELECT qid, chunk_id FROM lit JOIN ct USING (term) JOIN need USING (qid) GROUP BY qid, chunk_id, need HAVING count(DISTINCT grp) >= need)"
+_LEX = "mg AS (SELECT qid, chunk_id, max(s) AS strength FROM (SELECT qid, chunk_id, score AS s FROM bm UNION ALL SELECT qid, chunk_id, matches::DOUBLE FROM tm) GROUP BY ALL), lex AS (SELECT * FROM (SELECT qid, chunk_id, strength, row_number() OVER (PARTITION BY qid ORDER BY strength DESC, file_path, start_line, chunk_id) AS position FROM mg JOIN cov USING (qid, chunk_id) JOIN cf USING (chunk_id)) WHERE position <= 64)"
 
 
 @query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_ASK}, {_MATCH} SELECT qid, chunk_id, matches, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matches DESC, chunk_id) AS rank FROM tm) WHERE rank <= 5")
 def term_postings_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    m = retrieval.term_matches(retrieval.questions(c), retrieval.chunk_terms(c))
+    m = retrieval.term_matches(retrieval.questions(c), retrieval.chunk_terms(c.join(_live(spark, d, c), "chunk_id", "left_semi")))
     return windows.top_k(m, ["qid"], [F.desc("matches"), F.col("chunk_id")], 5)
 
 
 @query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_COVER} SELECT * FROM cov")
 def literal_coverage(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return retrieval.covered(retrieval.questions(c), retrieval.chunk_terms(c))
+    return retrieval.covered(retrieval.questions(c), retrieval.chunk_terms(c.join(_live(spark, d, c), "chunk_id", "left_semi")))
 
 
 @query(f"WITH {_CHUNKS}, {_BM_W}, {_TERMS}, {_ASK}, {_MATCH}, {_COVER}, {_LEX} SELECT * FROM lex")
 def lexical_merge(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return retrieval.lexical(retrieval.questions(c), c)
+    return retrieval.lexical(retrieval.questions(c), c, fresh=_live(spark, d, c))
 
 
-_SYM = f"{_USABLE}, sy AS (SELECT region_id AS symbol_id, repo, file_path AS path, symbol AS name, start_line, end_line FROM u WHERE symbol IS NOT NULL)"
-_SM = f"part AS (SELECT DISTINCT qid, p FROM (SELECT qid, unnest({_SUBS.format(c='question')}) AS p FROM q) WHERE length(p) >= 4), sm AS (SELECT qid, symbol_id, min(priority)::BIGINT AS priority FROM (SELECT qid, symbol_id, 0 AS priority FROM q JOIN sy ON lower(question) = lower(name) UNION ALL SELECT qid, symbol_id, 2 FROM part JOIN sy ON contains(lower(name), p)) GROUP BY ALL)"
-_SC = "sc AS (SELECT symbol_id, chunk_id, pref::BIGINT AS pref FROM (SELECT symbol_id, chunk_id, CASE WHEN c.symbol = sy.name THEN 0 WHEN c.start_line <= sy.start_line AND c.end_line >= sy.start_line THEN 1 ELSE 2 END AS pref, row_number() OVER (PARTITION BY symbol_id ORDER BY CASE WHEN c.symbol = sy.name THEN 0 WHEN c.start_line <= sy.start_line AND c.end_line >= sy.start_line THEN 1 ELSE 2 END, c.start_line, c.ordinal, chunk_id) AS k FROM sy JOIN c ON c.repo = sy.repo AND c.file_path = sy.path) WHERE k = 1)"
+_SYM = f"{_USABLE}, sy AS (SELECT region_id AS symbol_id, u.repo, file_path AS path, symbol AS name, start_line, end_line FROM u JOIN ff ON ff.repo = u.repo AND ff.path = u.file_path WHERE symbol IS NOT NULL)"
+_SM = """eq AS (SELECT qid, lower(trim(question)) AS name, 0 AS priority FROM q UNION SELECT qid, term, 0 FROM said UNION SELECT qid, term, 1 FROM more),
+pt AS (SELECT qid, term AS p, 2 AS priority FROM more WHERE length(term) >= 4 UNION SELECT qid, term, 3 FROM said WHERE length(term) >= 4 UNION SELECT qid, lower(trim(question)), 3 FROM q),
+smb AS (SELECT qid, symbol_id, min(priority)::BIGINT AS priority FROM (SELECT qid, symbol_id, priority FROM eq JOIN sy ON lower(sy.name) = eq.name UNION ALL SELECT qid, symbol_id, priority FROM pt JOIN sy ON contains(lower(sy.name), p)) GROUP BY ALL),
+sm AS (SELECT qid, symbol_id, priority FROM (SELECT qid, symbol_id, priority, row_number() OVER (PARTITION BY qid ORDER BY priority, lower(name), path, start_line, symbol_id) AS k FROM smb JOIN sy USING (symbol_id)) WHERE k <= 64)"""
+_SC = "sc AS (SELECT symbol_id, chunk_id, pref::BIGINT AS pref FROM (SELECT symbol_id, chunk_id, CASE WHEN c.symbol = sy.name THEN 0 WHEN c.start_line <= sy.start_line AND c.end_line >= sy.start_line THEN 1 ELSE 2 END AS pref, row_number() OVER (PARTITION BY symbol_id ORDER BY CASE WHEN c.symbol = sy.name THEN 0 WHEN c.start_line <= sy.start_line AND c.end_line >= sy.start_line THEN 1 ELSE 2 END, c.start_line, c.ordinal, chunk_id) AS k FROM sy JOIN cf c ON c.repo = sy.repo AND c.file_path = sy.path) WHERE k = 1)"
 
 
-@query(f"WITH {_CHUNKS}, {_QS}, {_SYM}, {_SM} SELECT qid, symbol_id, priority, CASE WHEN priority = 0 THEN 'exact' ELSE 'partial' END AS match FROM sm")
+@query(f"WITH {_CHUNKS}, {_QS}, {_ASK}, {_SYM}, {_SM} SELECT qid, symbol_id, priority, CASE WHEN priority = 0 THEN 'exact' WHEN priority < 3 THEN 'expanded' ELSE 'partial' END AS match FROM sm")
 def symbol_match(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.symbol_matches(retrieval.questions(_chunks(spark, d)), _symbols(spark, d))
 
 
 @query(f"WITH {_CHUNKS}, {_SYM}, {_SC} SELECT * FROM sc")
 def symbol_to_chunk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.symbol_chunks(_symbols(spark, d), _chunks(spark, d))
+    c = _chunks(spark, d)
+    return retrieval.symbol_chunks(_symbols(spark, d), c.join(_live(spark, d, c), "chunk_id", "left_semi"))
 
 
 _TAIL = "list_transform(range(1, len(string_split({p}, '/')) + 1), lambda i: array_to_string(string_split({p}, '/')[i:], '.'))"
 _BARE, _PKG = r"regexp_replace(lower(path), '\.[^./]*$', '')", r"regexp_replace(regexp_replace(lower(path), '\.[^./]*$', ''), '/__init__$', '')"
 _ALIAS = rf"al AS (SELECT DISTINCT repo, alias, path FROM (SELECT repo, path, unnest(list_concat([lower(path), {_NAME}, {_BARE}, regexp_extract({_BARE}, '[^/]*$')], list_concat({_TAIL.format(p=_BARE)}, {_TAIL.format(p=_PKG)}))) AS alias FROM f))"
-_FOLD = "regexp_replace(lower(source_path), '/?[^/]*$', '')"
-_EDGES = rf"""{_ALIAS}, lo AS (SELECT repo, source_path, lower(replace(replace(target, '"', ''), '''', '')) AS t, {_FOLD} AS dir FROM dep),
-want AS (SELECT DISTINCT repo, source_path, unnest([CASE WHEN regexp_matches(t, '^\.\.?/') THEN regexp_replace(dir || '/' || regexp_replace(t, '^\./', ''), '[^/]+/\.\./', '', 'g') END, CASE WHEN regexp_matches(t, '^\.[a-z_]') THEN dir || '/' || replace(substring(t, 2, 1000), '.', '/') END,
- CASE WHEN NOT starts_with(t, '.') THEN t END, CASE WHEN NOT starts_with(t, '.') THEN regexp_replace(t, '::|/', '.', 'g') END, CASE WHEN regexp_matches(t, '^(crate|self|super)::') THEN replace(regexp_replace(t, '^(crate|self|super)::', ''), '::', '.') END]) AS alias FROM lo),
-ed AS (SELECT DISTINCT want.repo, source_path, al.path AS target_path FROM want JOIN al ON al.repo = want.repo AND al.alias = want.alias WHERE source_path <> al.path)"""
+_FOLD = "ltrim(list_reduce(list_prepend('', list_filter({x}, lambda p: p <> '' AND p <> '.')), lambda acc, p: CASE WHEN p = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || p END), '/')"
+_NEAR, _ABOVE = _FOLD.format(x="list_concat(dir, string_split(t, '/'))"), _FOLD.format(x="list_concat(dir[1:greatest(len(dir) - length(regexp_extract(t, '^(\\.*)', 1)) + 1, 0)], string_split(regexp_replace(t, '^\\.+', ''), '.'))")
+_EDGES = rf"""{_ALIAS}, lo AS (SELECT DISTINCT repo, source_path, line, target, lower(replace(regexp_replace(trim(target), '^["'']+|["'']+$', '', 'g'), '\', '/')) AS t, string_split(lower(source_path), '/')[1:-2] AS dir FROM dep),
+bs AS (SELECT repo, source_path, line, target, unnest([CASE WHEN regexp_matches(t, '^\.\.?/') THEN {_NEAR} END, CASE WHEN starts_with(t, '.') AND NOT regexp_matches(t, '^\.\.?/') THEN {_ABOVE} END,
+ CASE WHEN NOT starts_with(t, '.') THEN t END, CASE WHEN regexp_matches(t, '^(crate|self|super)::') THEN replace(regexp_replace(t, '^((crate|self|super)::)+', ''), '::', '.') END]) AS b FROM lo),
+want AS (SELECT DISTINCT repo, source_path, line, target, unnest([b, regexp_replace(b, '::|/', '.', 'g'), CASE WHEN contains(b, '/') THEN b ELSE regexp_replace(b, '\.|::', '/', 'g') END, regexp_replace(b, '\.py$', '')]) AS alias FROM bs WHERE b <> ''),
+edl AS (SELECT DISTINCT want.repo, source_path, line, target, al.path AS target_path FROM want JOIN al ON al.repo = want.repo AND al.alias = want.alias WHERE source_path <> al.path), ed AS (SELECT DISTINCT repo, source_path, target_path FROM edl)"""
 
 
 @query(f"WITH {_FILES}, {_ALIAS} SELECT * FROM al")
@@ -348,16 +386,17 @@ def path_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
+    """Edges between fresh files."""
+    f = facts.fresh(_files(spark, d))
     return retrieval.resolved_edges(facts.dependencies(f), f)
 
 
-@query(f"WITH {_FILES}, {_DEPS}, {_EDGES} SELECT * FROM ed")
+@query(f"WITH {_FRESH_FILES}, {_DEPS}, {_EDGES} SELECT * FROM ed")
 def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
-@query(f"WITH {_FILES}, {_DEPS}, {_EDGES} SELECT repo, target_path AS path, count(*) AS n_dependents FROM ed GROUP BY ALL")
+@query(f"WITH {_FRESH_FILES}, {_DEPS}, {_EDGES} SELECT repo, target_path AS path, count(*) AS n_dependents FROM ed GROUP BY ALL")
 def reverse_dependents(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).groupBy("repo", F.col("target_path").alias("path")).agg(F.count(F.lit(1)).alias("n_dependents"))
 
@@ -368,28 +407,29 @@ _NB = """nb AS (SELECT qid, repo, path, min(struct_pack(direction := direction,
  WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.qid = x.qid AND s.repo = x.repo AND s.seed_path = x.path) GROUP BY ALL)"""
 
 
-@query(f"WITH {_CHUNKS}, {_FILES}, {_DEPS}, {_EDGES}, seed AS (SELECT chunk_id AS qid, repo, file_path AS seed_path FROM c WHERE chunk_id % 20 = 0), {_NB} SELECT qid, repo, path, m.seed_path AS seed_path, m.direction AS direction FROM nb")
+@query(f"WITH {_CHUNKS}, {_FRESH_FILES}, {_DEPS}, {_EDGES}, seed AS (SELECT chunk_id AS qid, repo, file_path AS seed_path FROM c WHERE chunk_id % 20 = 0), {_NB} SELECT qid, repo, path, m.seed_path AS seed_path, m.direction AS direction FROM nb")
 def dependency_neighbors(spark: SparkSession, d: str) -> DataFrame:
     seeds = _chunks(spark, d).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "repo", F.col("file_path").alias("seed_path"))
     return retrieval.neighbours(seeds, _edges(spark, d))
 
 
-_HYBRID = f"""{_BM_W}, {_TERMS}, {_ASK}, {_MATCH}, {_COVER}, {_LEX}, {_SYM}, {_SM}, {_SC}, {_FILES}, {_DEPS}, {_EDGES},
+_HYBRID = f"""{_BM_W}, {_TERMS}, {_ASK}, {_MATCH}, {_COVER}, {_LEX}, {_SYM}, {_SM}, {_SC}, {_FRESH_FILES}, {_DEPS}, {_EDGES},
 a AS (SELECT qid, chunk_id, 8 * greatest(strength, 0e0) / greatest(max(strength) OVER (PARTITION BY qid), 1e-12) + 2e0 / position AS score, 'full-text match' AS reason FROM lex),
-b AS (SELECT qid, chunk_id, CASE WHEN m.priority = 0 THEN 24e0 ELSE 12e0 END AS score, CASE WHEN m.priority = 0 THEN 'exact symbol match: ' ELSE 'partial symbol match: ' END || m.name AS reason FROM (SELECT qid, chunk_id, min(struct_pack(priority := priority, name := name)) AS m FROM sm JOIN sc USING (symbol_id) JOIN sy USING (symbol_id) GROUP BY ALL)),
-dir AS (SELECT * FROM a UNION ALL SELECT * FROM b), bp AS (SELECT qid, repo, file_path AS path, round(max(score), 6) AS score FROM (SELECT qid, chunk_id, sum(score) AS score FROM dir GROUP BY ALL) JOIN c USING (chunk_id) GROUP BY ALL),
+b AS (SELECT qid, chunk_id, CASE WHEN m.priority = 0 THEN 24e0 WHEN m.priority < 3 THEN 10e0 ELSE 12e0 END AS score, CASE WHEN m.priority = 0 THEN 'exact symbol match: ' WHEN m.priority < 3 THEN 'query-expansion symbol match: ' ELSE 'partial symbol match: ' END || m.name AS reason FROM (SELECT qid, chunk_id, min(struct_pack(priority := priority, name := name)) AS m FROM sm JOIN sc USING (symbol_id) JOIN sy USING (symbol_id) GROUP BY ALL)),
+dir AS (SELECT * FROM a UNION ALL SELECT * FROM b), bp AS (SELECT qid, repo, file_path AS path, round(max(score), 6) AS score FROM (SELECT qid, chunk_id, sum(score) AS score FROM dir GROUP BY ALL) JOIN cf USING (chunk_id) GROUP BY ALL),
 seed AS (SELECT qid, repo, path AS seed_path, score AS seed_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path, repo) AS k FROM bp) WHERE k <= 8), {_NB},
-fc AS (SELECT repo, file_path AS path, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY ordinal, start_line, chunk_id) AS k FROM c) WHERE k = 1),
-n2 AS (SELECT nb.qid, fc.chunk_id, greatest(1e0, 0.25e0 * seed_score) AS score, m.direction || ' ' || m.seed_path AS reason FROM nb JOIN seed ON seed.qid = nb.qid AND seed.repo = nb.repo AND seed.seed_path = m.seed_path JOIN fc ON fc.repo = nb.repo AND fc.path = nb.path),
+fc AS (SELECT repo, file_path AS path, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY ordinal, start_line, chunk_id) AS k FROM cf) WHERE k = 1),
+n1 AS (SELECT qid, repo, path, m, chunk_id FROM (SELECT nb.*, fc.chunk_id, row_number() OVER (PARTITION BY nb.qid ORDER BY nb.path, nb.repo) AS k FROM nb JOIN fc ON fc.repo = nb.repo AND fc.path = nb.path) WHERE k <= 64),
+n2 AS (SELECT nb.qid, nb.chunk_id, greatest(1e0, 0.25e0 * seed_score) AS score, m.direction || ' ' || m.seed_path AS reason FROM n1 nb JOIN seed ON seed.qid = nb.qid AND seed.repo = nb.repo AND seed.seed_path = m.seed_path),
 al2 AS (SELECT qid, chunk_id, round(sum(score), 6) AS score, array_to_string(list_sort(list_distinct(list(reason))), '; ') AS reason FROM (SELECT * FROM dir UNION ALL SELECT * FROM n2) GROUP BY ALL),
-hy AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path, start_line, chunk_id) AS rank, chunk_id, file_path AS path, start_line, end_line, score, reason FROM al2 JOIN c USING (chunk_id)) WHERE rank <= 8)"""
+hy AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path, start_line, chunk_id) AS rank, chunk_id, file_path AS path, start_line, end_line, score, reason FROM al2 JOIN cf USING (chunk_id)) WHERE rank <= 8)"""
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     shared_dir(spark)
-    c, f = _chunks(spark, d), _files(spark, d)
+    c, f = _chunks(spark, d), facts.fresh(_files(spark, d))
     qs = retrieval.questions(c)
-    return retrieval.hybrid(qs, c, f, _symbols(spark, d), facts.dependencies(f)), qs
+    return retrieval.hybrid(qs, c, f, _symbols(spark, d), facts.dependencies(f), fresh=_live(spark, d, c)), qs
 
 
 @query(f"WITH {_CHUNKS}, {_HYBRID} SELECT * FROM hy")
@@ -411,7 +451,7 @@ _RM = f"rt AS (SELECT qid, min(rank) AS r FROM {_RES} WHERE rank <= 5 AND chunk_
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _chunks(spark, d)
     qs = retrieval.questions(c)
-    return windows.top_k(retrieval.bm25(qs, c), ["qid"], [F.desc("score"), F.col("chunk_id")], 5), qs
+    return windows.top_k(retrieval.bm25(qs, c, fresh=_live(spark, d, c)), ["qid"], [F.desc("score"), F.col("chunk_id")], 5), qs
 
 
 @query(f"WITH {_CHUNKS}, {_BM_W}, {_RM} SELECT * FROM rm")
@@ -424,11 +464,11 @@ def metrics_by_bucket(spark: SparkSession, d: str) -> DataFrame:
     return graph.metric_buckets(graph.retrieval_metrics(*_ranked(spark, d)))
 
 
-@query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_COVER}, x AS (SELECT q.qid, EXISTS (SELECT 1 FROM cov WHERE cov.qid = q.qid AND cov.chunk_id <> q.qid) AS answered, EXISTS (SELECT 1 FROM c c2 WHERE c2.chunk_id <> q.qid AND c2.symbol = q.question) AS answerable FROM q), s AS (SELECT sum((NOT answered AND NOT answerable)::INT) AS tp, sum((NOT answered AND answerable)::INT) AS fp, sum((answered AND NOT answerable)::INT) AS fn, sum((answered AND answerable)::INT) AS tn FROM x) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy FROM s")
+@query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_COVER}, x AS (SELECT q.qid, EXISTS (SELECT 1 FROM cov WHERE cov.qid = q.qid AND cov.chunk_id <> q.qid) AS answered, EXISTS (SELECT 1 FROM c c2 WHERE c2.chunk_id <> q.qid AND c2.symbol = q.question) AS answerable FROM q), s AS (SELECT sum((NOT answered AND NOT answerable)::INT) AS tp, sum((NOT answered AND answerable)::INT) AS fp, sum((answered AND NOT answerable)::INT) AS fn, sum((answered AND answerable)::INT) AS tn FROM x) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM s")
 def no_answer_confusion(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
     qs = retrieval.questions(c)
-    got = retrieval.covered(qs, retrieval.chunk_terms(c)).where("chunk_id <> qid").select("qid").distinct().withColumn("answered", F.lit(True))
+    got = retrieval.covered(qs, retrieval.chunk_terms(c.join(_live(spark, d, c), "chunk_id", "left_semi"))).where("chunk_id <> qid").select("qid").distinct().withColumn("answered", F.lit(True))
     same = c.groupBy(F.col("symbol").alias("question")).agg(F.count(F.lit(1)).alias("n"))
     rows = qs.join(got, "qid", "left").join(same, "question", "left")
     return rows.agg(*graph.confusion(F.coalesce("answered", F.lit(False)), F.coalesce(F.col("n") > 1, F.lit(False))))
@@ -463,9 +503,22 @@ def module_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.module_nodes(_files(spark, d))
 
 
-@query(f"WITH {_FILES}, {_DEPS}, {_EDGES}, g AS (SELECT repo, {_mod('source_path')} AS source, {_mod('target_path')} AS target, count(*) AS n_edges, min(source_path) AS witness FROM ed GROUP BY ALL) SELECT repo, source, target, n_edges, witness FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_edges DESC, source, target) AS k FROM g WHERE source <> target) WHERE k <= 40")
+_TARGETS_OF = rf"""nm AS (SELECT repo, name, min(path) AS target_path FROM (SELECT repo, path, replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(path), '\.[^./]*$', ''), '^(src|lib)/', ''), '/?__init__$', ''), '-', '_'), '/', '.') AS name FROM f WHERE language IN {_in(list(retrieval.MODULES))}) WHERE name <> '' GROUP BY ALL),
+tp AS (SELECT repo, source_path, line, target, string_split(regexp_replace(replace(regexp_replace(lower(trim(target)), '^[./]+', ''), '-', '_'), '/|::', '.', 'g'), '.') AS ps FROM dep),
+px AS (SELECT *, array_to_string(ps[1:size], '.') AS name FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS size FROM tp)),
+mt AS (SELECT repo, source_path, line, target, target_path FROM (SELECT px.*, target_path, row_number() OVER (PARTITION BY px.repo, source_path, line, target ORDER BY size DESC) AS k FROM px JOIN nm ON nm.repo = px.repo AND nm.name = px.name) WHERE k = 1 AND source_path <> target_path)"""
+
+
+@query(f"WITH {_FRESH_FILES}, {_DEPS}, {_TARGETS_OF} SELECT * FROM mt")
+def module_targets(spark: SparkSession, d: str) -> DataFrame:
+    f = facts.fresh(_files(spark, d))
+    return retrieval.module_targets(facts.dependencies(f), f)
+
+
+@query(f"WITH {_FRESH_FILES}, {_DEPS}, {_EDGES}, {_TARGETS_OF}, g AS (SELECT repo, {_mod('source_path')} AS source, {_mod('target_path')} AS target, count(*) AS n_edges, min(struct_pack(source_path := source_path, line := line, target := target)) AS w FROM (SELECT * FROM mt UNION SELECT * FROM edl) GROUP BY ALL) SELECT repo, source, target, n_edges, w.source_path AS witness, w.line AS line, w.target AS import_target FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_edges DESC, source, target) AS k FROM g WHERE source <> target) WHERE k <= 40")
 def module_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.module_edges(_edges(spark, d))
+    f = facts.fresh(_files(spark, d))
+    return graph.module_edges(retrieval.import_edges(facts.dependencies(f), f))
 
 
 @query(f"WITH {_FILES}, a AS (SELECT repo, {_GROUP.format(p='path')} AS area, language, path FROM f), l AS (SELECT repo, area, language, row_number() OVER (PARTITION BY repo, area ORDER BY count(*) DESC, min(path), language) AS k FROM a WHERE language IS NOT NULL GROUP BY repo, area, language), n AS (SELECT repo, area, string_agg(language, ', ' ORDER BY k) AS languages FROM l WHERE k <= 3 GROUP BY ALL) SELECT a.repo, a.area, count(*) AS n_files, min(path) AS witness, coalesce(languages, '') AS languages FROM a LEFT JOIN n ON n.repo = a.repo AND n.area = a.area GROUP BY ALL")

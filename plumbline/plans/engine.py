@@ -33,8 +33,8 @@ class Evidence:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, store: str, **options: int) -> None:
-        self.spark, self.root, self.options = spark, root, options
+    def __init__(self, spark: SparkSession, root: str, store: str, synonyms: dict[str, list[str]] | None = None, **options: int) -> None:
+        self.spark, self.root, self.options, self.synonyms = spark, root, options, synonyms
         self.store = FactStore(spark, store)
 
     def scan(self, mode: str = "auto", attempts: int = 3) -> Update:
@@ -83,10 +83,8 @@ class Engine:
             return []
         shared_dir(self.spark)
         generation, v = self._views()
-        words = question.split()
-        asked = next((w.strip("`?.,!\"'") for w in words if re.search(r"_|[a-z][A-Z]", w)), question)
-        qs = self.spark.createDataFrame([(1, question if asked == question else asked)], "qid long, question string")
-        ranked = retrieval.hybrid(qs, v["chunks"], v["files"], v["symbols"], v["deps"], limit)
+        qs = self.spark.createDataFrame([(1, question)], "qid long, question string")
+        ranked = retrieval.hybrid(qs, v["chunks"], v["files"], v["symbols"], v["deps"], limit, synonyms=self.synonyms)
         rows = ranked.join(v["chunks"].select("chunk_id", "content"), "chunk_id").orderBy("rank").collect()
         return [Evidence(r.path, r.start_line, r.end_line, r.content, r.score, r.reason, generation) for r in rows]
 
@@ -100,7 +98,7 @@ class Engine:
         from plumbline.plans import report
 
         _, v = self._views()
-        edges = retrieval.resolved_edges(v["deps"], v["files"])
+        edges = retrieval.import_edges(v["deps"], v["files"])
         return report.flowchart(graph.module_nodes(v["files"]).orderBy(F.desc("n_files"), "label").collect(), graph.module_edges(edges).orderBy(F.desc("n_edges"), "source", "target").collect())
 
     def largest(self, k: int = 5) -> DataFrame:

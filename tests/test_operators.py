@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def test_imports_resolve_in_all_forms(spark):
         ("web/a.ts", "typescript", "import {b} from './b'\nimport c from \"../shared/c\"\n"), ("web/b.ts", "typescript", ""), ("shared/c.ts", "typescript", ""), ("core/d.rs", "rust", "use crate::core::e;\n"), ("core/e.rs", "rust", ""), ("n/x.c", "c", '#include "y.h"\n'), ("n/y.h", "c", ""))], "file_id long, repo string, path string, language string, text string")
     edges = retrieval.resolved_edges(facts.dependencies(files), files)
     assert sorted((r.source_path, r.target_path) for r in edges.collect()) == [("core/d.rs", "core/e.rs"), ("n/x.c", "n/y.h"), ("src/app/main.py", "lib/tools.py"), ("src/app/main.py", "src/app/util.py"), ("web/a.ts", "shared/c.ts"), ("web/a.ts", "web/b.ts")]
-    got = {(r.source, r.target): r.n_edges for r in graph.module_edges(edges).collect()}
+    got = {(r.source, r.target): r.n_edges for r in graph.module_edges(retrieval.import_edges(facts.dependencies(files), files)).collect()}
     assert got == {("app", "tools"): 1, ("web", "shared"): 1}
 
 
@@ -96,3 +98,75 @@ def test_bm25_equals_sqlite(spark):
     chunks = spark.createDataFrame([(i, f"p{i}/a", "load" if i == 2 else "", d) for i, d in enumerate(docs, 1)], "chunk_id long, file_path string, symbol string, content string")
     got = {r.chunk_id: r.score for r in retrieval.bm25(spark.createDataFrame([(1, "load map")], "qid long, question string"), chunks).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+IMPORTS = [
+    ("python", "a/b/c.py", "import os, sys as s\nfrom . import x, y as z\nfrom ..pkg.mod import (\n    one,  # , not\n    two,\n)\nfrom .. import (up)\n    import deep.er; q = 1\n", [(1, "os"), (1, "sys"), (2, ".x"), (2, ".y"), (3, "..pkg.mod"), (7, "..up"), (8, "deep.er")]),
+    ("javascript", "a/b.js", 'import {\n  one,\n  two\n} from "../../x";\nimport "./side";\nexport * from \'m\';\nconst q = require("./r");\nlet s = "import t from \'u\'";\n', [(1, "../../x"), (5, "./side"), (6, "m"), (7, "./r")]),
+    ("go", "m.go", 'package m\nimport (\n\t"fmt"\n\tx "a.b/c"\n)\nimport y "d/e"\nvar s = "f.g/h"\n', [(2, "fmt"), (2, "a.b/c"), (6, "d/e")]),
+    ("rust", "r.rs", "use crate::a::b::{c, d};\npub use std::io;\nmod inner;\nmod here { }\n", [(1, "crate::a::b"), (2, "std::io"), (3, "inner")]),
+    ("java", "J.java", "import static a.b.C.d;\nimport e.f.*;\n", [(1, "a.b.C.d"), (2, "e.f")]),
+    ("c", "c.c", '#include <stdio.h>\n# include "x/y.h"\n', [(1, "stdio.h"), (2, "x/y.h")]),
+]
+
+
+def test_imports_over_several_lines_and_of_several_modules(spark):
+    from plumbline.operators.parsing import line_dependencies
+
+    files_ = spark.createDataFrame([("r", p, x, t) for x, p, t, _ in IMPORTS], "repo string, path string, language string, text string")
+    got = {p: [] for _, p, _, _ in IMPORTS}
+    for r in facts.dependencies(files_).collect():
+        got[r.source_path].append((r.line, r.target))
+    for language, path, text, want in IMPORTS:
+        assert sorted(got[path]) == sorted(want), language
+        assert sorted((d.line, d.target) for d in line_dependencies(text, language)) == sorted(want), language
+
+
+def test_python_imports_are_those_of_its_syntax_tree(spark, sf):
+    from plumbline.operators.parsing import python_facts
+
+    f = facts.clean_files(spark.read.parquet(sf + "/files.parquet")).where("language = 'python' AND text IS NOT NULL")
+    got: dict[str, set] = {}
+    for r in facts.dependencies(f).collect():
+        got.setdefault((r.repo, r.source_path), set()).add(r.target)
+    n = 0
+    for r in f.select("repo", "path", "text").collect():
+        try:
+            ast.parse(r.text)
+        except SyntaxError:
+            continue
+        n += 1
+        assert {d.target for d in python_facts(r.path, r.text).dependencies} == got.get((r.repo, r.path), set()), r.path
+    assert n > 3
+
+
+def test_imports_resolve_to_files(spark):
+    paths = ["src/app/core/load.py", "src/app/core/__init__.py", "src/app/util.py", "src/app/x.py", "web/a/b/c.js", "web/x.js", "lib/net/http.rs", "src/app-kit/deep/mod.py"]
+    lang = {"py": "python", "js": "javascript", "rs": "rust"}
+    files_ = spark.createDataFrame([("r", p, lang[p.rsplit(".", 1)[1]]) for p in paths], "repo string, path string, language string")
+    deps = [("src/app/core/load.py", "..util"), ("src/app/core/load.py", "..x"), ("src/app/x.py", ".core.load"), ("web/a/b/c.js", "../../x"), ("lib/net/http.rs", "crate::net::nothing"), ("src/app/util.py", "app.core"), ("src/app/util.py", "app_kit.deep.mod.Thing"), ("src/app/util.py", "elsewhere.app")]
+    deps_ = spark.createDataFrame([("r", s, 1, t) for s, t in deps], "repo string, source_path string, line int, target string")
+    got = {(r.source_path, r.target_path) for r in retrieval.resolved_edges(deps_, files_).collect()}
+    want = {("src/app/core/load.py", "src/app/util.py"), ("src/app/core/load.py", "src/app/x.py"), ("src/app/x.py", "src/app/core/load.py"), ("web/a/b/c.js", "web/x.js"), ("src/app/util.py", "src/app/core/__init__.py")}
+    assert want <= got and ("src/app/util.py", "src/app-kit/deep/mod.py") not in got
+    mods = {(r.target, r.target_path) for r in retrieval.module_targets(deps_, files_).collect()}
+    assert ("app_kit.deep.mod.Thing", "src/app-kit/deep/mod.py") in mods and ("app.core", "src/app/core/__init__.py") in mods
+    assert not any(t == "elsewhere.app" for t, _ in mods)
+
+
+def test_questions_are_expanded_but_covered_by_what_they_say(spark):
+    chunks = spark.createDataFrame(
+        [(1, "r", "a.py", 0, 1, 2, "def parse_policy(x): pass", "python", "parse_policy"), (2, "r", "b.py", 0, 1, 2, "the policies were parsed here", "python", ""), (3, "r", "c.py", 0, 1, 2, "配置文件的加载", "python", "")],
+        "chunk_id long, repo string, file_path string, ordinal int, start_line int, end_line int, content string, language string, symbol string",
+    )
+    ask = lambda *q: spark.createDataFrame(list(enumerate(q)), "qid long, question string")
+    index = retrieval.chunk_terms(chunks)
+    hits = {(r.qid, r.chunk_id): r.matches for r in retrieval.term_matches(ask("policies parsing", "加载配置", "shop rules"), index, {"shop rules": ["policy"]}).collect()}
+    assert hits[0, 1] >= 2 and hits[0, 2] >= 1 and hits[1, 3] >= 2 and hits[2, 1] == 1
+    cover = {(r.qid, r.chunk_id) for r in retrieval.covered(ask("policies parsed", "加载", "parse_policy", "parse_rules"), index).collect()}
+    assert cover == {(0, 2), (1, 3), (2, 1)}
+    symbols = spark.createDataFrame([(1, "r", "a.py", "parse_policy", 1, 2), (2, "r", "a.py", "policy", 3, 4), (3, "r", "a.py", "id", 5, 6), (4, "r", "a.py", "load_policy_file", 7, 8)], "symbol_id long, repo string, path string, name string, start_line int, end_line int")
+    got = {(r.qid, r.symbol_id): (r.priority, r.match) for r in retrieval.symbol_matches(ask("policies", "policy", "id"), symbols).collect()}
+    assert got[0, 2] == (1, "expanded") and got[0, 1] == (2, "expanded") and got[1, 2] == (0, "exact") and got[1, 4] == (3, "partial") and got[2, 3] == (0, "exact")
+    stale = chunks.where("chunk_id <> 1").select("chunk_id")
+    assert {r.chunk_id for r in retrieval.bm25(ask("parse policy"), chunks, fresh=stale).collect()}.isdisjoint({1})
