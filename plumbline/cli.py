@@ -1,4 +1,4 @@
-"""Command line: scan, ask, map, diagram and status of a source tree."""
+"""Command line: scan, ask, map, diagram, status and doctor of a source tree."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from plumbline.plans import report
 from plumbline.plans.engine import Engine, MODES
+from plumbline.sources.questions import Settings
 
 
 def write_generated(target: Path, text: str, force: bool = False) -> None:
@@ -27,20 +28,26 @@ def write_generated(target: Path, text: str, force: bool = False) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline", description=__doc__)
-    p.add_argument("command", choices=["scan", "ask", "map", "diagram", "status", "clean"])
+    p.add_argument("command", choices=["scan", "ask", "map", "diagram", "status", "clean", "doctor"])
     p.add_argument("root")
     p.add_argument("question", nargs="?", default="")
     p.add_argument("--store", required=True, help="folder of the fact store")
     p.add_argument("--mode", choices=MODES, default="auto")
-    p.add_argument("--limit", type=int, default=8)
+    p.add_argument("--limit", type=int)
+    p.add_argument("--settings", help="TOML file of the user's settings; the tree's own plumbline.toml may only lower them")
+    p.add_argument("--evidence", action="store_true", help="tables of evidence below a diagram")
     p.add_argument("--output", type=Path)
     p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine = Engine(spark, a.root, a.store)
+    use = Settings.load(a.settings, os.path.join(a.root, "plumbline.toml"))
+    engine = Engine(spark, a.root, a.store, {k: list(v) for k, v in use.synonyms}, maxFileBytes=use.max_file_bytes, maxEntries=use.max_entries, maxBytes=use.max_bytes, maxDepth=use.max_depth)
     if a.command == "status":
         print(json.dumps(engine.store.status(), sort_keys=True))
         return 0
+    if a.command == "doctor":
+        print(json.dumps(engine.doctor(), sort_keys=True))
+        return 0
     if a.command == "clean":
         print(json.dumps(engine.store.clean()))
         return 0
@@ -48,9 +55,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "scan":
         print(json.dumps(asdict(update), sort_keys=True))
     elif a.command == "ask":
-        print(report.extract(report.bounded(engine.ask(a.question, a.limit))))
+        print(report.extract(report.bounded(engine.ask(a.question, a.limit or use.limit), use.context_chars)))
     else:
-        text = engine.map() if a.command == "map" else engine.diagram()
+        text = engine.map() if a.command == "map" else engine.diagram(a.evidence)
         if a.output:
             write_generated(a.output, text, a.force)
         else:

@@ -90,3 +90,20 @@ def path_aliases(path: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
     return F.array_distinct(F.concat(F.array(low, base_name(low), bare, base_name(bare)), tails(bare), tails(package)))
+
+
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)"
+
+
+def url_scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and final dots."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
+
+
+def is_local(url: Column) -> Column:
+    """Whether an endpoint is this machine: none is given, or its host is a loopback name or address."""
+    return F.coalesce(url.isNull() | url_host(url).rlike(r"^(localhost|127\.[0-9]+\.[0-9]+\.[0-9]+|\[::1\])$"), F.lit(False))

@@ -73,6 +73,23 @@ def retrieval_metrics(results: DataFrame, qs: DataFrame, k: int = 5) -> DataFram
     return qs.join(right, "qid", "left").select("qid", "q_language", F.col("r").isNotNull().cast("long").alias("hit"), F.round(gain, 6).alias("mrr"), F.round(ndcg, 6).alias("ndcg"))
 
 
+def grades(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk_id, grade): 3 for the chunk a question (qid, question, repo, file_path) comes from, 2 for others of its file, 1 for
+    others with the symbol asked for. Equality joins, one for each reason."""
+    own = questions.join(chunks.select(F.col("chunk_id").alias("qid")), "qid").select("qid", F.col("qid").alias("chunk_id"), F.lit(3).alias("grade"))
+    near = questions.join(chunks.select("chunk_id", "repo", "file_path"), ["repo", "file_path"]).select("qid", "chunk_id", F.lit(2).alias("grade"))
+    same = questions.join(chunks.select("chunk_id", F.col("symbol").alias("question")), "question").select("qid", "chunk_id", F.lit(1).alias("grade"))
+    return own.unionByName(near).unionByName(same).groupBy("qid", "chunk_id").agg(F.max("grade").alias("grade"))
+
+
+def graded_ndcg(results: DataFrame, graded: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, ndcg) at k with gains of 2^grade - 1; 0 for a question without a graded chunk."""
+    gain = lambda rank: (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(rank + 1)
+    got = results.where(F.col("rank") <= k).join(graded, ["qid", "chunk_id"]).groupBy("qid").agg(F.sum(gain(F.col("rank"))).alias("dcg"))
+    best = top_k(graded, ["qid"], [F.desc("grade"), F.col("chunk_id")], k, "place").groupBy("qid").agg(F.sum(gain(F.col("place"))).alias("ideal"))
+    return questions.join(got, "qid", "left").join(best, "qid", "left").select("qid", F.round(F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)), 6).alias("ndcg"))
+
+
 def metric_buckets(metrics: DataFrame) -> DataFrame:
     """Means by language and over all (language ``*``), in one pass with grouping sets."""
     g = metrics.cube("q_language").agg(F.count(F.lit(1)).alias("n_questions"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.grouping("q_language").alias("_all"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import terms as T
 from plumbline.functions import text as X
 from plumbline.functions.languages import BY_SUFFIX, SUFFIXES
-from plumbline.operators import facts, filters, graph, retrieval, snapshots, windows
+from plumbline.operators import facts, filters, graph, retrieval, snapshots, vectors, windows
 from plumbline.session import shared_dir, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -660,3 +660,42 @@ def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"))
+
+
+@query("WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e), s AS (SELECT q.vec_id AS qid, n.vec_id AS id, round(CASE WHEN q.norm > 0 AND n.norm > 0 THEN list_dot_product(q.v, n.v) / (q.norm * n.norm) ELSE 0 END, 6) + 0.0::DOUBLE AS score FROM n q JOIN n ON q.vec_id <> n.vec_id WHERE q.vec_id % 20 = 0) SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+# Send previews ------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT DISTINCT preview_id, lower(regexp_extract(endpoint, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, rtrim(lower(regexp_extract(endpoint, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '.') AS host, coalesce(endpoint IS NULL OR regexp_matches(rtrim(lower(regexp_extract(endpoint, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)), '.'), '^(localhost|127\.[0-9]+\.[0-9]+\.[0-9]+|\[::1\])$'), false) AS is_local FROM send_previews")
+def preview_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "send_previews").select("preview_id", "endpoint").distinct()
+    return rows.select("preview_id", X.url_scheme(F.col("endpoint")).alias("scheme"), X.url_host(F.col("endpoint")).alias("host"), X.is_local(F.col("endpoint")).alias("is_local")).distinct()
+
+
+@query("WITH p AS (SELECT DISTINCT preview_id, provider, fragment_count FROM send_previews), g AS (SELECT preview_id, count(*) AS n, sum(octet_length(encode(coalesce(content, ''))))::BIGINT AS n_bytes FROM (SELECT DISTINCT * FROM preview_fragments) GROUP BY ALL) SELECT p.preview_id, p.provider, coalesce(n, 0) AS n_fragments, coalesce(n_bytes, 0) AS content_bytes, coalesce(coalesce(n, 0) = fragment_count, false) AS complete FROM p LEFT JOIN g USING (preview_id)")
+def preview_contents(spark: SparkSession, d: str) -> DataFrame:
+    """What a send preview would send: its fragments against the number it states."""
+    p = table(spark, d, "send_previews").select("preview_id", "provider", "fragment_count").distinct()
+    g = table(spark, d, "preview_fragments").dropDuplicates(["fragment_id"]).groupBy("preview_id").agg(F.count(F.lit(1)).alias("n_fragments"), F.sum(F.octet_length(F.coalesce("content", F.lit("")))).cast("long").alias("content_bytes"))
+    rows = p.join(g, "preview_id", "left").fillna(0, ["n_fragments", "content_bytes"])
+    return rows.select("preview_id", "provider", "n_fragments", "content_bytes", F.coalesce(F.col("n_fragments") == F.col("fragment_count"), F.lit(False)).alias("complete"))
+
+
+# More of the evaluation ---------------------------------------------------------------------------------------------------------
+
+_GRADE = "CASE WHEN cc.chunk_id = q.qid THEN 3 WHEN cc.repo = q.repo AND cc.file_path = q.file_path THEN 2 WHEN cc.symbol = q.question THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {_CHUNKS}, {_BM_W}, qg AS (SELECT q.*, c.repo, c.file_path FROM q JOIN c ON c.chunk_id = q.qid), r5 AS (SELECT * FROM {_RES} WHERE rank <= 5), gd AS (SELECT q.qid, cc.chunk_id, {_GRADE} AS grade FROM qg q JOIN cf cc ON cc.chunk_id = q.qid OR (cc.repo = q.repo AND cc.file_path = q.file_path) OR cc.symbol = q.question), got AS (SELECT r5.qid, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM r5 JOIN gd USING (qid, chunk_id) GROUP BY r5.qid), best AS (SELECT qid, sum((pow(2, grade) - 1) / log2(k + 1)) AS ideal FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS k FROM gd) WHERE k <= 5 GROUP BY qid) SELECT q.qid, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM q LEFT JOIN got USING (qid) LEFT JOIN best USING (qid)")
+def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    results, qs = _ranked(spark, d)
+    c = _chunks(spark, d)
+    live = c.join(_live(spark, d, c), "chunk_id", "left_semi").select("chunk_id", "repo", "file_path", "symbol")
+    home = qs.join(c.select(F.col("chunk_id").alias("qid"), "repo", "file_path"), "qid")
+    grades = graph.grades(home.select("qid", "question", "repo", "file_path"), live)
+    return graph.graded_ndcg(results, grades, qs.select("qid"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 from dataclasses import dataclass
 
@@ -32,10 +34,16 @@ class Evidence:
         return f"{self.path}:{self.start_line}" + (f"-{self.end_line}" if self.end_line != self.start_line else "")
 
 
+def tree_identity(root: str) -> str:
+    """A digest of the device and the number of a tree's folder: another folder under the same name is another tree."""
+    s = os.stat(root)
+    return hashlib.sha256(f"{s.st_dev}:{s.st_ino}".encode()).hexdigest()
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str, synonyms: dict[str, list[str]] | None = None, **options: int) -> None:
         self.spark, self.root, self.options, self.synonyms = spark, root, options, synonyms
-        self.store = FactStore(spark, store)
+        self.store = FactStore(spark, store, identity=tree_identity(root))
 
     def scan(self, mode: str = "auto", attempts: int = 3) -> Update:
         """Brings the store up to date: auto and always parse what changed, rebuild everything, never only checks that facts fit."""
@@ -94,12 +102,29 @@ class Engine:
 
         return report.project_map(*self._views(), self.store.pointer().skipped)
 
-    def diagram(self) -> str:
+    def diagram(self, evidence: bool = False) -> str:
+        """A flowchart of the modules; with ``evidence`` also tables of a file for each node and of an import for each edge."""
         from plumbline.plans import report
 
         _, v = self._views()
-        edges = retrieval.import_edges(v["deps"], v["files"])
-        return report.flowchart(graph.module_nodes(v["files"]).orderBy(F.desc("n_files"), "label").collect(), graph.module_edges(edges).orderBy(F.desc("n_edges"), "source", "target").collect())
+        edges = graph.module_edges(retrieval.import_edges(v["deps"], v["files"])).orderBy(F.desc("n_edges"), "source", "target").collect()
+        nodes = graph.module_nodes(v["files"]).orderBy(F.desc("n_files"), "label").collect()
+        return report.flowchart(nodes, edges) + (report.evidence_tables(nodes, edges) if evidence else "")
+
+    def doctor(self) -> dict[str, object]:
+        """What a run depends on and whether it is there: versions, folders, the store and the parsers that made its facts."""
+        from importlib.metadata import version
+
+        p = self.store.pointer()
+        return {
+            "versions": {m: version(m) for m in ("pyspark", "pyarrow", "pandas", "numpy")},
+            "root_readable": os.access(self.root, os.R_OK | os.X_OK),
+            "shared_folder": shared_dir(self.spark),
+            "store": {"folder": self.store.files.root, "committed": bool(p.folder), "generation": p.generation, "parts": len(p.parts), "incomplete": p.incomplete},
+            "facts_fit": bool(p.folder) and p.fingerprint == self.store.component,
+            "components": self.store.components,
+            "synonyms": len(self.synonyms or {}),
+        }
 
     def largest(self, k: int = 5) -> DataFrame:
         return self._views()[1]["files"].orderBy(F.desc(X.line_count(F.col("text"))), "path").limit(k).select("path", "line_count")

@@ -56,6 +56,7 @@ class Pointer:
     incomplete: list[str] = field(default_factory=list)
     skipped: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
+    identity: str = ""
     format: int = FORMAT
 
 
@@ -145,8 +146,9 @@ class FactStore:
     """Facts of one tree below a shared folder. A generation is a list of parts, gen-N folders that never change once CURRENT
     names them: what is new lies in the last one, with the paths that the ones before no longer hold and those that are stale."""
 
-    def __init__(self, spark: SparkSession, root: str, registry: parsing.ParserRegistry | None = None) -> None:
-        self.spark, self.files = spark, Folder(spark, root)
+    def __init__(self, spark: SparkSession, root: str, registry: parsing.ParserRegistry | None = None, identity: str = "") -> None:
+        """``identity`` is that of the tree: a store that holds facts of another one starts anew."""
+        self.spark, self.files, self.identity = spark, Folder(spark, root), identity
         self.registry = registry or parsing.default_registry()
 
     @property
@@ -170,7 +172,8 @@ class FactStore:
         data = json.loads(text)
         if data.get("format") != FORMAT:
             raise StoreError(f"unknown store format {data.get('format')}")
-        return Pointer(**data)
+        p = Pointer(**data)
+        return p if not self.identity or p.identity in ("", self.identity) else Pointer(p.generation, p.revision)
 
     def table(self, name: str, pointer: Pointer | None = None) -> DataFrame:
         """A table of one generation: pass a pointer to read several tables of the same one."""
@@ -258,7 +261,7 @@ class FactStore:
                 up.generation, up.revision, up.cache_hit = here.generation, here.revision, True
                 return up
             new = bool(moved or not same_parsers or not base.folder)
-            nxt = Pointer(here.generation + new, here.revision + 1, here.folder, self.component, incomplete, skipped, list(here.parts))
+            nxt = Pointer(here.generation + new, here.revision + 1, here.folder, self.component, incomplete, skipped, list(here.parts), identity=self.identity)
             if new:
                 nxt.folder = f"gen-{nxt.generation}-{nxt.revision}"
                 nxt.parts = write(nxt.folder)
@@ -347,4 +350,4 @@ class FactStore:
     def status(self) -> dict[str, object]:
         p = self.pointer()
         counts = {t: self.table(t, p).count() for t in TABLES} if p.folder else dict.fromkeys(TABLES, 0)
-        return {**asdict(p), "parsers_current": p.fingerprint == self.component, **{f"n_{t}": n for t, n in counts.items()}}
+        return {**asdict(p), "components": self.components, "parsers_current": p.fingerprint == self.component, **{f"n_{t}": n for t, n in counts.items()}}

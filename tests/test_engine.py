@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -147,3 +148,29 @@ def test_streams(spark, tmp_path):
     assert got == {1: "b", 2: "c", 3: "d"}
     events = rows.select(F.col("k").alias("user_id"), "ts", F.col("v").alias("event_type"), F.lit(1.0).alias("value"))
     assert changes.windowed_counts(events).count() == 3 and changes.sessions(events).count() == 3
+
+
+def test_another_tree_under_the_same_name_starts_anew(spark, tree, tmp_path):
+    e = Engine(spark, str(tree), str(tmp_path / "store"), maxFileBytes=100_000)
+    first = e.scan()
+    tree.rename(tmp_path / "old")
+    tree.mkdir()
+    (tree / "only.py").write_text("X = 1\n")
+    again = Engine(spark, str(tree), str(tmp_path / "store"))
+    up = again.scan()
+    assert (up.added, up.removed) == (1, 0) and up.generation > first.generation and again.store.status()["n_files"] == 1
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    (tmp_path / "user.toml").write_text('limit = 3\n[synonyms]\nsetup = ["settings"]\n')
+    (tree / "plumbline.toml").write_text("limit = 2\nmax_file_bytes = 100000\n")
+    run = lambda *a: (cli.main([*a, "--store", str(tmp_path / "store"), "--settings", str(tmp_path / "user.toml")]), capsys.readouterr().out)[1]
+    run("scan", str(tree))
+    told = json.loads(run("doctor", str(tree)))
+    assert told["facts_fit"] and told["root_readable"] and told["synonyms"] == 1 and set(told["components"]) == {"parsers", "format", "chunks", "terms"}
+    assert "src/demo/config.py" in run("ask", str(tree), "load_settings")
+    assert "| Module |" in run("diagram", str(tree), "--evidence") and "flowchart LR" in run("diagram", str(tree))
+
+
+def test_records_have_no_line_ends():
+    assert " " not in report.record(ev("a b")) and "\\u2028" in report.record(ev("a b"))

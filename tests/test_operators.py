@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import ast
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import terms as T
 from plumbline.functions import text as X
 from plumbline.functions.paths import clean_path
-from plumbline.operators import facts, filters, graph, retrieval, windows
+from plumbline.operators import facts, filters, graph, retrieval, vectors, windows
 from plumbline.operators.skew import join_split_hot
 
 
@@ -170,3 +171,27 @@ def test_questions_are_expanded_but_covered_by_what_they_say(spark):
     assert got[0, 2] == (1, "expanded") and got[0, 1] == (2, "expanded") and got[1, 2] == (0, "exact") and got[1, 4] == (3, "partial") and got[2, 3] == (0, "exact")
     stale = chunks.where("chunk_id <> 1").select("chunk_id")
     assert {r.chunk_id for r in retrieval.bm25(ask("parse policy"), chunks, fresh=stale).collect()}.isdisjoint({1})
+
+
+@pytest.mark.parametrize("blocks", [(20_000, 2_000), (7, 3)])
+def test_nearest_vectors_equal_brute_force(spark, blocks):
+    rng = np.random.default_rng(2)
+    m = np.vstack([rng.normal(size=(60, 8)), np.zeros((1, 8))])
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(m)] + [(3, m[3].tolist(), "x"), (99, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = {(r.qid, r["rank"]): (r.id, r.score) for r in vectors.nearest(df, df.where("vec_id % 5 = 0"), "vec_id", "embedding", 4, *blocks).collect()}
+    norm = np.linalg.norm(m, axis=1)
+    for q in range(0, 61, 5):
+        score = np.round(m @ m[q] / np.where(norm * norm[q] > 0, norm * norm[q], 1), 6)
+        want = sorted(((-s, i) for i, s in enumerate(score) if i != q))[:4]
+        assert [got[q, k + 1][0] for k in range(4)] == [i for _, i in want]
+    assert vectors.nearest(df.limit(0), df, "vec_id", "embedding").count() == 0 == vectors.nearest(df, df.limit(0), "vec_id", "embedding").count()
+
+
+def test_graded_gains_equal_brute_force(spark):
+    results = spark.createDataFrame([(1, 10, 1), (1, 1, 2), (1, 12, 3), (2, 5, 1)], "qid long, chunk_id long, rank int")
+    qs = spark.createDataFrame([(1, "f", "r", "a.py"), (2, "g", "r", "b.py"), (3, "h", "r", "c.py")], "qid long, question string, repo string, file_path string")
+    chunks = spark.createDataFrame([(1, "r", "a.py", "f"), (10, "r", "a.py", ""), (12, "r", "z.py", "f"), (2, "r", "b.py", "g"), (5, "r", "y.py", "")], "chunk_id long, repo string, file_path string, symbol string")
+    got = {r.qid: r.ndcg for r in graph.graded_ndcg(results, graph.grades(qs, chunks), qs.select("qid")).collect()}
+    dcg, ideal = 3 + 7 / np.log2(3) + 1 / 2, 7 + 3 / np.log2(3) + 1 / 2
+    assert got == {1: pytest.approx(dcg / ideal, abs=1e-6), 2: 0, 3: 0}

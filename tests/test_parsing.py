@@ -89,3 +89,13 @@ def test_ignore_files():
     assert s.ignored("x/tmp", True) and not s.ignored("x/tmp", False)
     with pytest.raises(InvalidPattern):
         IgnoreStack().below("", "!\n")
+
+
+def test_priorities_of_parsers():
+    r = ParserRegistry()
+    r.register("x", lambda p, t: Facts([Symbol(1, 1, "k", "low")]), "low-1", priority=-5)
+    r.register("x", lambda p, t: Facts([Symbol(1, 1, "k", "high")]), "high-1", priority=10)
+    r.register("x", lambda p, t: Facts(), "late-1")
+    assert r.manifest() == [("x", "high-1")] and r.parse("x", "p", "a").symbols[0].name == "high"
+    with pytest.raises(ValueError):
+        r.register("y", lambda p, t: Facts(), "y-1", priority=1001)
