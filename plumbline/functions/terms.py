@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values.
-STOP_WORDS = "a an and are be does for from how in is it of on or the this to was what where which who why with".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "be", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "was",
+    "what", "where", "which", "who", "why", "with",
+]
 MOST_QUERY_TERMS, LONGEST_TERM = 64, 128
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]+"
 WORD = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"

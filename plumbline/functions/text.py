@@ -59,7 +59,10 @@ def is_test(path: Column) -> Column:
     return in_dir | name.startswith("test_") | name.rlike(r"(_test\.py|\.(test|spec)\.(ts|js))$")
 
 
-CONFIG_NAMES = "cargo.toml dockerfile go.mod makefile package.json pom.xml pyproject.toml requirements.txt setup.cfg setup.py tsconfig.json".split()
+CONFIG_NAMES = [
+    "cargo.toml", "dockerfile", "go.mod", "makefile", "package.json", "pom.xml", "pyproject.toml", "requirements.txt", "setup.cfg",
+    "setup.py", "tsconfig.json",
+]
 
 
 def is_config(path: Column) -> Column:

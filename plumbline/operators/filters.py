@@ -9,17 +9,27 @@ from plumbline.functions.languages import suffix_language
 from plumbline.functions.text import base_name
 
 # Fixed values.
-IGNORED_DIRS = """.git .hg .svn .bzr .cache .mypy_cache .pytest_cache .ruff_cache .parcel-cache __pycache__ .turbo .gradle .tox .nox .venv venv .next
-    .nuxt .svelte-kit bower_components node_modules build dist out target coverage htmlcov deriveddata pods .plumbline""".split()
-IGNORED_FILES = ".coverage .ds_store desktop.ini npm-debug.log thumbs.db yarn-error.log".split()
-IGNORED_SUFFIXES = ".a .class .dll .dylib .exe .lib .min.css .min.js .o .obj .pyc .pyo .so".split()
-ENV_TEMPLATES = ".env.defaults .env.dist .env.example .env.sample .env.template".split()
-SENSITIVE_NAMES = """.dockercfg .htpasswd .netrc .npmrc .pypirc auth.json credentials credentials.json id_dsa id_ecdsa id_ed25519 id_rsa kubeconfig secrets
-    secrets.json secrets.toml secrets.yaml secrets.yml""".split()
-SENSITIVE_SUFFIXES = ".jks .kdbx .key .keystore .p12 .pem .pfx .pkcs12 .tfstate".split()
-CONFIG_FILE_NAMES = """.editorconfig .gitattributes .gitignore .npmignore .prettierignore .prettierrc .python-version cmakelists.txt dockerfile gemfile go.mod
-    go.sum justfile makefile package.json pipfile procfile pyproject.toml requirements.txt rust-toolchain rust-toolchain.toml workspace""".split()
-MARKDOWN_STEMS = "authors changelog code_of_conduct contributing history license notice readme security".split()
+IGNORED_DIRS = [
+    ".git", ".hg", ".svn", ".bzr", ".cache", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".parcel-cache", "__pycache__", ".turbo",
+    ".gradle", ".tox", ".nox", ".venv", "venv", ".next", ".nuxt", ".svelte-kit", "bower_components", "node_modules", "build", "dist",
+    "out", "target", "coverage", "htmlcov", "deriveddata", "pods", ".plumbline",
+]
+IGNORED_FILES = [".coverage", ".ds_store", "desktop.ini", "npm-debug.log", "thumbs.db", "yarn-error.log"]
+IGNORED_SUFFIXES = [".a", ".class", ".dll", ".dylib", ".exe", ".lib", ".min.css", ".min.js", ".o", ".obj", ".pyc", ".pyo", ".so"]
+ENV_TEMPLATES = [".env.defaults", ".env.dist", ".env.example", ".env.sample", ".env.template"]
+SENSITIVE_NAMES = [
+    ".dockercfg", ".htpasswd", ".netrc", ".npmrc", ".pypirc", "auth.json", "credentials", "credentials.json", "id_dsa", "id_ecdsa",
+    "id_ed25519", "id_rsa", "kubeconfig", "secrets", "secrets.json", "secrets.toml", "secrets.yaml", "secrets.yml",
+]
+SENSITIVE_SUFFIXES = [".jks", ".kdbx", ".key", ".keystore", ".p12", ".pem", ".pfx", ".pkcs12", ".tfstate"]
+CONFIG_FILE_NAMES = [
+    ".editorconfig", ".gitattributes", ".gitignore", ".npmignore", ".prettierignore", ".prettierrc", ".python-version",
+    "cmakelists.txt", "dockerfile", "gemfile", "go.mod", "go.sum", "justfile", "makefile", "package.json", "pipfile", "procfile",
+    "pyproject.toml", "requirements.txt", "rust-toolchain", "rust-toolchain.toml", "workspace",
+]
+MARKDOWN_STEMS = [
+    "authors", "changelog", "code_of_conduct", "contributing", "history", "license", "notice", "readme", "security",
+]
 MARKER = r"(?i)<!--[ \t]*generator:[ \t]*plumbline[^>]*deterministic[ \t]+(source[ \t]+map|static[ \t]+graph)\.[ \t]*-->"
 #: Forms of credentials that count with high confidence; plain enough for every regular-expression engine.
 HIGH_CONFIDENCE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(AKIA|ASIA)[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{30,}|\bgithub_pat_[A-Za-z0-9_]{30,}|\bglpat-[A-Za-z0-9_-]{18,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{30,}|\bsk-[A-Za-z0-9_-]{20,}|\bhf_[A-Za-z0-9]{30,}|\bsk_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{10,}"
