@@ -17,14 +17,15 @@ from plumbline.session import write_out
 
 # --- Fixed values: what tools write and where copies are kept ----------------------------------------------------------
 
-LOCK_FILES = set(
-    """package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.lockb composer.lock cargo.lock poetry.lock pipfile.lock pdm.lock uv.lock
-    gemfile.lock go.sum mix.lock pubspec.lock podfile.lock flake.lock gradle.lockfile packages.lock.json deno.lock conan.lock""".split()
-)
-VENDOR_DIRS = set(
-    """vendor vendored vendors third_party third-party thirdparty 3rdparty external externals extern node_modules bower_components deps
-    site-packages pods carthage jspm_packages _vendor""".split()
-)
+LOCK_FILES = {
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "composer.lock", "cargo.lock",
+    "poetry.lock", "pipfile.lock", "pdm.lock", "uv.lock", "gemfile.lock", "go.sum", "mix.lock", "pubspec.lock", "podfile.lock",
+    "flake.lock", "gradle.lockfile", "packages.lock.json", "deno.lock", "conan.lock",
+}
+VENDOR_DIRS = {
+    "vendor", "vendored", "vendors", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "extern",
+    "node_modules", "bower_components", "deps", "site-packages", "pods", "carthage", "jspm_packages", "_vendor",
+}
 _GENERATED_NAME = re.compile(r"(?i)(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw)?\.(?:go|cc|h|cpp|hpp|swift|rs)|_pb\.(?:js|ts|d\.ts)|\.g\.(?:ts|js|cs|dart)|[._](?:gen|generated|autogen)\.\w+|\.designer\.cs)$")
 _MINIFIED_NAME = re.compile(r"(?i)[.-](?:min|bundle|packed|prod)\.(?:js|mjs|cjs|css)$|\.chunk\.js$")
 _BY_TOOL = re.compile(
