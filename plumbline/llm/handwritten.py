@@ -143,14 +143,14 @@ def looks_like_data(text: str) -> bool:
     return many or size >= BLOB and size >= BLOB_SHARE * whole
 
 
-#: Lines of a leaf below a file: at least, and from there on one line in so many ends it, by its hash.
-LEAF_LINES, ONE_IN = 3, 4
+#: Lines of a leaf below a file that a blank line ends, and from which on one line in so many ends it, by its own hash.
+LEAF_LINES, LONG_LEAF, ONE_IN = 3, 8, 4
 
 
 def leaves(text: str) -> Iterator[tuple[int, int]]:
     """(hash, lines) of the blocks of a text: the leaves below a file. Comments, blanks and layout do not matter. A block ends at
-    a blank line or behind a line whose own hash says so, once it has three lines: a change costs the blocks it touches,
-    wherever blank lines stand."""
+    a blank line, once it has three lines, or behind a line whose own hash says so, once it has eight: a change costs the
+    blocks it touches, wherever blank lines stand."""
     block: list[str] = []
     for line in text.split("\n"):
         bare = "".join(line.split())
@@ -160,7 +160,7 @@ def leaves(text: str) -> Iterator[tuple[int, int]]:
                 block = []
         elif not _COMMENT.match(line):
             block.append(bare)
-            if len(block) > LEAF_LINES and zlib.crc32(bare.encode("utf-8", "surrogatepass")) % ONE_IN == 0:
+            if len(block) >= LONG_LEAF and zlib.crc32(bare.encode("utf-8", "surrogatepass")) % ONE_IN == 0:
                 yield _hash("\n".join(block)), len(block)
                 block = []
     if block:
