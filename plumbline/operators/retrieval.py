@@ -26,22 +26,36 @@ def question_tokens(qs: DataFrame) -> DataFrame:
     return qs.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """Chunks with what retrieval needs of their texts: the tokens of each column (_t_...) and the distinct terms of all (_terms).
+    Chunks that have them already are taken as they are, so an index may be written out once and used by all operators."""
+    if "_terms" in chunks.columns:
+        return chunks
+    tokens = {f"_t_{c}": T.tokens(F.coalesce(c, F.lit(""))) for c in WEIGHTS}
+    return chunks.withColumns({**tokens, "_terms": T.document_terms(F.col("file_path"), F.col("symbol"), F.col("content"))})
+
+
+def written_index(chunks: DataFrame) -> DataFrame:
+    """The index of chunks as a table of the shared folder, without their contents: each text is tokenised once."""
+    kept = [c for c in ("chunk_id", "repo", "file_path", "ordinal", "start_line", "end_line", "symbol") if c in chunks.columns]
+    return write_out(indexed(chunks).select(*kept, *[f"_t_{c}" for c in WEIGHTS], "_terms"))
+
+
 def postings(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(chunk_id, token, f, d): weighted occurrences of a token in a chunk and the chunk's number of tokens."""
     weights = weights or WEIGHTS
 
     def weighed(column: str, w: float) -> Column:
-        return F.transform(T.tokens(F.coalesce(column, F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+        return F.transform(f"_t_{column}", lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
 
-    each = F.flatten(F.array(*[weighed(c, w) for c, w in weights.items()]))
-    rows = chunks.select("chunk_id", each.alias("e")).select("chunk_id", F.size("e").cast("long").alias("d"), F.explode("e").alias("e"))
+    rows = indexed(chunks).select("chunk_id", F.flatten(F.array(*[weighed(c, w) for c, w in weights.items()])).alias("e")).select("chunk_id", F.size("e").cast("long").alias("d"), F.explode("e").alias("e"))
     return rows.groupBy("chunk_id", F.col("e.token").alias("token")).agg(F.sum("e.w").alias("f"), F.max("d").alias("d"))
 
 
 def corpus_stats(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(n, avg_d): one row, the number of chunks and their mean number of tokens."""
-    n = sum((F.size(T.tokens(F.coalesce(c, F.lit("")))) for c in (weights or WEIGHTS)), F.lit(0))
-    return chunks.select(n.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"))
+    n = sum((F.size(f"_t_{c}") for c in (weights or WEIGHTS)), F.lit(0))
+    return indexed(chunks).select(n.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"))
 
 
 def bm25(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, fresh: DataFrame | None = None) -> DataFrame:
@@ -68,7 +82,7 @@ def bm25(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = No
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term): the inverted index of path, symbol and content."""
-    return chunks.select("chunk_id", F.explode(T.document_terms(F.col("file_path"), F.col("symbol"), F.col("content"))).alias("term"))
+    return indexed(chunks).select("chunk_id", F.explode("_terms").alias("term"))
 
 
 Synonyms = dict[str, list[str]]
@@ -92,7 +106,9 @@ def covered(qs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def lexical(qs: DataFrame, chunks: DataFrame, k: int = 64, fresh: DataFrame | None = None, synonyms: Synonyms | None = None) -> DataFrame:
-    """(qid, chunk_id, strength, position): BM25 and term matches merged by the better rank, gated by coverage, top k."""
+    """(qid, chunk_id, strength, position): BM25 and term matches merged by the better rank, gated by coverage, top k. The index is
+    written to the shared folder first, unless ``chunks`` is one."""
+    chunks = chunks if "_terms" in chunks.columns else written_index(chunks)
     live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
     index = chunk_terms(live)
     ok = covered(qs, index)
@@ -232,6 +248,7 @@ def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFram
     most. With ``fresh`` (chunk_id) only these chunks are evidence. Uses the shared folder.
     (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
     most = min(max(limit * 8, 32), 500)
+    chunks = chunks if "_terms" in chunks.columns else written_index(chunks)
     live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
     best = F.max("strength").over(Window.partitionBy("qid"))  # at most ``most`` rows of a question
     a = lexical(qs, chunks, most, fresh, synonyms).withColumn("top", best).select("qid", "chunk_id", (8 * F.greatest("strength", F.lit(0.0)) / F.greatest("top", F.lit(1e-12)) + 2 / F.col("position")).alias("score"), F.lit("full-text match").alias("reason"))

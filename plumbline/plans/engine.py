@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import graph, retrieval
-from plumbline.plans.store import FEW, MOST_PARTS, FactStore, StaleScan, StoreError, Update
+from plumbline.plans.store import FEW, MOST_PARTS, FactStore, Pointer, StaleScan, StoreError, Update
 from plumbline.session import shared_dir, ship
 from plumbline.sources.tree import OPTIONS, list_tree, read_changed
 
@@ -72,16 +72,16 @@ class Engine:
                     raise
         raise AssertionError
 
-    def _views(self) -> tuple[int, dict[str, DataFrame]]:
+    def _views(self, pointer: Pointer | None = None) -> tuple[int, dict[str, DataFrame]]:
         """Tables of one pinned generation in the shape of the retrieval operators; only fresh files are seen."""
-        p = self.store.pointer()
+        p = pointer or self.store.pointer()
         fresh = self.store.table("files", p).where("NOT stale")
         ok = fresh.select("path")
         files = fresh.withColumns({"repo": F.lit("r"), "file_id": F.xxhash64("path")})
         chunks = self.store.table("chunks", p).join(ok, "path", "left_semi").withColumns({"repo": F.lit("r"), "file_path": F.col("path"), "chunk_id": F.xxhash64("path", "ordinal")})
         symbols = self.store.table("symbols", p).join(ok, "path", "left_semi").withColumns({"repo": F.lit("r"), "symbol_id": F.xxhash64("path", "ordinal", "name")})
         deps = self.store.table("dependencies", p).join(ok, "path", "left_semi").select(F.lit("r").alias("repo"), F.col("path").alias("source_path"), "line", "target")
-        return p.generation, {"files": files, "chunks": chunks, "symbols": symbols.select("symbol_id", "repo", "path", "name", "kind", "start_line", "end_line"), "deps": deps}
+        return p.generation, {"files": files, "chunks": chunks, "ok": ok, "symbols": symbols.select("symbol_id", "repo", "path", "name", "kind", "start_line", "end_line"), "deps": deps}
 
     def ask(self, question: str, limit: int = 8) -> list[Evidence]:
         """Ranked evidence for a question of at most 4000 characters; 1 to 20 results. Nothing if no chunk fits."""
@@ -90,9 +90,11 @@ class Engine:
         if not re.search(r"\w", question):
             return []
         shared_dir(self.spark)
-        generation, v = self._views()
+        pointer = self.store.pointer()
+        generation, v = self._views(pointer)
         qs = self.spark.createDataFrame([(1, question)], "qid long, question string")
-        ranked = retrieval.hybrid(qs, v["chunks"], v["files"], v["symbols"], v["deps"], limit, synonyms=self.synonyms)
+        index = self.store.index(pointer).join(v["ok"], "path", "left_semi").withColumns({"repo": F.lit("r"), "file_path": F.col("path"), "chunk_id": F.xxhash64("path", "ordinal")})
+        ranked = retrieval.hybrid(qs, index, v["files"], v["symbols"], v["deps"], limit, synonyms=self.synonyms)
         rows = ranked.join(v["chunks"].select("chunk_id", "content"), "chunk_id").orderBy("rank").collect()
         return [Evidence(r.path, r.start_line, r.end_line, r.content, r.score, r.reason, generation) for r in rows]
 

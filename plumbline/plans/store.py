@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import terms as T
 from plumbline.functions import text as X
-from plumbline.operators import parsing
+from plumbline.operators import parsing, retrieval
 from plumbline.sources.tree import content, language_of_path, listed
 
 FORMAT = 2
@@ -32,6 +32,7 @@ SCHEMAS = {
     "symbols": "path string, ordinal int, start_line int, end_line int, kind string, name string, signature string",
     "dependencies": "path string, ordinal int, line int, target string, kind string",
     "chunks": "path string, ordinal int, start_line int, end_line int, symbol string, content string",
+    "terms": "path string, ordinal int, start_line int, end_line int, symbol string, _t_file_path array<string>, _t_symbol array<string>, _t_content array<string>, _terms array<string>",
     "gone": "path string",
     "stale": "path string",
 }
@@ -104,6 +105,14 @@ class Folder:
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._at(name))
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def put(self, source: str, name: str) -> None:
+        """Gives a folder its final name, unless another process was first."""
+        if self.exists(name) or not self._fs.rename(self._at(source), self._at(name)):
+            self.delete(source)
+
     def names(self) -> list[str]:
         return sorted(x.getPath().getName() for x in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.root)))
 
@@ -190,6 +199,18 @@ class FactStore:
             out = out.join(stale, "path", "left").withColumn("stale", F.coalesce("_stale", F.lit(False))).select(*columns)
         return out
 
+    def index(self, pointer: Pointer) -> DataFrame:
+        """The inverted index of a generation: its chunks without contents, with their tokens and terms. It is kept by parts like the
+        facts, so only the chunks of new parts are ever tokenised; a part that has none yet gets it now."""
+        for part in pointer.parts:
+            if not self.files.exists(f"{part}/terms"):
+                chunks = self.spark.read.schema(SCHEMAS["chunks"]).parquet(self.files.path(f"{part}/chunks")).withColumn("file_path", F.col("path"))
+                work = f"work-{uuid.uuid4().hex}"
+                rows = retrieval.indexed(chunks).select("path", "ordinal", "start_line", "end_line", "symbol", *[f"_t_{c}" for c in retrieval.WEIGHTS], "_terms")
+                rows.write.parquet(self.files.path(work))
+                self.files.put(work, f"{part}/terms")
+        return self.table("terms", pointer)
+
     @contextlib.contextmanager
     def _lock(self, wait_s: float = 30.0) -> Iterator[None]:
         until = time.monotonic() + wait_s

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli
+from plumbline.operators import retrieval
 from plumbline.plans import engine, report
 from plumbline.plans.engine import Engine, Evidence
 from plumbline.plans.store import FactStore, StaleScan, StoreError
@@ -105,7 +106,17 @@ def test_ask_map_diagram(spark, tree, tmp_path, capsys):
     top = e.ask("Where is `load_settings` defined?")
     assert top[0].citation == "src/demo/config.py:1-3" and "exact symbol match" in top[0].reason
     assert any("src/demo/main.py" == x.path for x in top)
-    assert e.ask("?!") == [] and e.ask("quantum chromodynamics lattice") == []
+    parts = e.store.pointer().parts
+    assert all(e.store.files.exists(f"{x}/terms") for x in parts)
+    (tree / "src/demo/extra.py").write_text("def zebra_crossing():\n    pass\n")
+    e.scan()
+    assert e.ask("zebra_crossing")[0].path == "src/demo/extra.py" and len(e.store.pointer().parts) == len(parts) + 1
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = retrieval.indexed(e.store.table("chunks").withColumn("file_path", F.col("path")))
+    assert rows(e.store.index(e.store.pointer()).select("path", "ordinal", "_terms")) == rows(whole.select("path", "ordinal", "_terms"))
+    (tree / "src/demo/extra.py").unlink()
+    e.scan()
+    assert e.ask("zebra_crossing") == [] and e.ask("?!") == [] and e.ask("quantum chromodynamics lattice") == []
     text = e.map()
     assert text == e.map() and report.MARKER in text and "A small demo that reads settings." in text and "src/demo/main.py" in text
     assert e.diagram().startswith("flowchart LR\n  n_")
