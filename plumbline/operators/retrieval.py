@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import terms as T
 from plumbline.functions import text as X
+from plumbline.operators import blocks
 from plumbline.operators.windows import top_k
 from plumbline.session import write_out
 
@@ -22,6 +23,19 @@ def questions(chunks: DataFrame, every: int = 20) -> DataFrame:
     return rows.select(F.col("chunk_id").alias("qid"), F.col("symbol").alias("question"), F.col("language").alias("q_language"))
 
 
+def distinct_questions(qs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each text that is asked once, under the least of its qids, and (qid, asked): the qid under which each question's text is.
+    What a text has for an answer, all its questions have."""
+    qs = write_out(qs.select("qid", "question"))
+    texts = qs.groupBy("question").agg(F.min("qid").alias("asked"))
+    return texts.select(F.col("asked").alias("qid"), "question"), qs.join(texts, "question").select("qid", "asked")
+
+
+def for_all(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows of distinct questions, given to every question with the same text."""
+    return rows.withColumnRenamed("qid", "asked").join(same, "asked").drop("asked")
+
+
 def question_tokens(qs: DataFrame) -> DataFrame:
     return qs.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
 
@@ -41,14 +55,18 @@ def written_index(chunks: DataFrame) -> DataFrame:
     return write_out(indexed(chunks).select(*kept, *[f"_t_{c}" for c in WEIGHTS], "_terms"))
 
 
-def postings(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(chunk_id, token, f, d): weighted occurrences of a token in a chunk and the chunk's number of tokens."""
-    weights = weights or WEIGHTS
+def _weighed(weights: dict[str, float] | None) -> list[Column]:
+    """The tokens of each column as (token, w)."""
 
     def weighed(column: str, w: float) -> Column:
         return F.transform(f"_t_{column}", lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
 
-    rows = indexed(chunks).select("chunk_id", F.flatten(F.array(*[weighed(c, w) for c, w in weights.items()])).alias("e")).select("chunk_id", F.size("e").cast("long").alias("d"), F.explode("e").alias("e"))
+    return [weighed(c, w) for c, w in (weights or WEIGHTS).items()]
+
+
+def postings(chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(chunk_id, token, f, d): weighted occurrences of a token in a chunk and the chunk's number of tokens."""
+    rows = indexed(chunks).select("chunk_id", F.flatten(F.array(*_weighed(weights))).alias("e")).select("chunk_id", F.size("e").cast("long").alias("d"), F.explode("e").alias("e"))
     return rows.groupBy("chunk_id", F.col("e.token").alias("token")).agg(F.sum("e.w").alias("f"), F.max("d").alias("d"))
 
 
@@ -70,16 +88,53 @@ def bm25(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = No
     posts = postings(chunks, weights)
     some = posts.join(asked.select("token").distinct(), "token", "left_semi")
     df = some.groupBy("token").agg(F.count(F.lit(1)).alias("n_p"))
-    stats = corpus_stats(chunks, weights)
-    n, avg_d = stats.select("n").scalar(), F.coalesce(stats.select("avg_d").scalar(), F.lit(1.0))
-    raw = F.log((n - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
-    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg_d))
+    part = _part(corpus_stats(chunks, weights))
     some = some if fresh is None else some.join(fresh, "chunk_id", "left_semi")
     scored = asked.join(df, "token").join(some, "token").select("qid", "chunk_id", part.alias("part"))
     return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def asked_parts(qs: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, token, part): what a token that is asked for adds to the BM25 of a chunk, which does not depend on the question.
+    Texts are tokenised once: the postings of these tokens are written out, with an empty token for each chunk that holds its length."""
+    entries = [*_weighed(weights), F.array(F.struct(F.lit("").alias("token"), F.lit(0.0).alias("w")))]
+    rows = indexed(chunks).select("chunk_id", F.flatten(F.array(*entries)).alias("e")).select("chunk_id", (F.size("e") - 1).cast("long").alias("d"), F.explode("e").alias("e")).select("chunk_id", "d", "e.token", "e.w")
+    wanted = question_tokens(qs).select("token").unionByName(qs.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    posts = write_out(rows.join(F.broadcast(wanted), "token", "left_semi").groupBy("chunk_id", "token").agg(F.sum("w").alias("f"), F.max("d").alias("d")))
+    some, stats = posts.where("token <> ''"), posts.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"))
+    part = _part(stats)
+    df = some.groupBy("token").agg(F.count(F.lit(1)).alias("n_p"))
+    some = some if fresh is None else some.join(fresh, "chunk_id", "left_semi")
+    return some.join(F.broadcast(df), "token").select("chunk_id", "token", part.alias("part"))
+
+
+def _part(stats: DataFrame) -> Column:
+    """BM25 of one token in one chunk, from n_p, f and d; the corpus statistics (n, avg_d) are subqueries of one value."""
+    n, avg_d = stats.select("n").scalar(), F.coalesce(stats.select("avg_d").scalar(), F.lit(1.0))
+    raw = F.log((n - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
+    return idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg_d))
+
+
+def _asked(rows: DataFrame, kind: int, term: str, group: Column | None = None, need: Column | None = None) -> DataFrame:
+    zero = F.lit(0)
+    return rows.select("qid", F.lit(kind).alias("kind"), F.col(term).alias("term"), (zero if group is None else group).cast("int").alias("grp"), (zero if need is None else need).cast("int").alias("need"))
+
+
+def _posts(rows: DataFrame, kind: int, term: str, part: Column) -> DataFrame:
+    return rows.select(F.col("chunk_id").alias("id"), F.lit(kind).alias("kind"), F.col(term).alias("term"), part.cast("double").alias("part"))
+
+
+def bm25_top(qs: DataFrame, chunks: DataFrame, k: int, weights: dict[str, float] | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank): the k chunks of highest BM25 of each question, ties to the lower id. Scores are those of ``bm25``, whose
+    pairs of questions and chunks are never rows here. Uses the shared folder."""
+    texts, same = distinct_questions(qs)
+    posts = _posts(asked_parts(texts, chunks, weights, fresh), blocks.PART, "token", F.col("part"))
+    found = blocks.best_sums(_asked(question_tokens(texts), blocks.PART, "token"), posts, k, chunks.select("chunk_id").count())
+    top = top_k(found.withColumnRenamed("id", "chunk_id"), ["qid"], [F.desc("score"), F.col("chunk_id")], k)
+    return for_all(top, same).select("qid", "chunk_id", "score", "rank")
+
+
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term): the inverted index of path, symbol and content."""
     return indexed(chunks).select("chunk_id", F.explode("_terms").alias("term"))
@@ -88,20 +143,28 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
 Synonyms = dict[str, list[str]]
 
 
+def question_terms(qs: DataFrame, synonyms: Synonyms | None = None) -> DataFrame:
+    """(qid, term): the terms of each question, said or expanded."""
+    question = F.col("question")
+    return qs.select("qid", F.explode(F.concat(T.query_terms(question), T.expansions(question, synonyms))).alias("term"))
+
+
 def term_matches(qs: DataFrame, index: DataFrame, synonyms: Synonyms | None = None) -> DataFrame:
     """(qid, chunk_id, matches): how many terms of the question, said or expanded, a chunk has."""
-    question = F.col("question")
-    asked = qs.select("qid", F.explode(F.concat(T.query_terms(question), T.expansions(question, synonyms))).alias("term"))
-    return asked.join(index, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
+    return question_terms(qs, synonyms).join(index, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
+
+
+def literals(qs: DataFrame) -> DataFrame:
+    """(qid, need, group, term): the literal groups of each question and how many of them a chunk must have."""
+    rows = qs.select("qid", T.literal_groups(F.col("question")).alias("ts"))
+    rows = rows.withColumn("need", F.least(F.lit(2), F.size(F.array_distinct(F.transform("ts", lambda t: t["group"])))))
+    return rows.select("qid", "need", F.explode("ts").alias("t")).select("qid", "need", "t.group", "t.term")
 
 
 def covered(qs: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, chunk_id) of chunks that have terms of at least two literal groups of the question, or of its only one. What a question
     was expanded by does not count here."""
-    rows = qs.select("qid", T.literal_groups(F.col("question")).alias("ts"))
-    rows = rows.withColumn("need", F.least(F.lit(2), F.size(F.array_distinct(F.transform("ts", lambda t: t["group"])))))
-    each = rows.select("qid", "need", F.explode("ts").alias("t")).select("qid", "need", "t.group", "t.term")
-    hits = each.join(index, "term").groupBy("qid", "chunk_id").agg(F.count_distinct("group").alias("n"), F.max("need").alias("need"))
+    hits = literals(qs).join(index, "term").groupBy("qid", "chunk_id").agg(F.count_distinct("group").alias("n"), F.max("need").alias("need"))
     return hits.where("n >= need").select("qid", "chunk_id")
 
 

@@ -300,20 +300,16 @@ _BM_W, _BM_1 = _BM25.replace("@SRC@", _WEIGHTED), _BM25.replace("@SRC@", f"SELEC
 _TOP5 = "SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 5"
 
 
-def _top5(scored: DataFrame) -> DataFrame:
-    return windows.top_k(scored, ["qid"], [F.desc("score"), F.col("chunk_id")], 5).select("qid", "chunk_id", "score", "rank")
-
-
 @query(f"WITH {_CHUNKS}, {_BM_1} {_TOP5}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return _top5(retrieval.bm25(retrieval.questions(c), c, {"content": 1.0}, _live(spark, d, c)))
+    return retrieval.bm25_top(retrieval.questions(c), c, 5, {"content": 1.0}, _live(spark, d, c))
 
 
 @query(f"WITH {_CHUNKS}, {_BM_W} {_TOP5}")
 def weighted_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return _top5(retrieval.bm25(retrieval.questions(c), c, fresh=_live(spark, d, c)))
+    return retrieval.bm25_top(retrieval.questions(c), c, 5, fresh=_live(spark, d, c))
 
 
 @query(f"WITH {_CHUNKS}, tok AS ({_WEIGHTED}), dl AS (SELECT chunk_id, count(*) AS d FROM tok GROUP BY ALL) SELECT (SELECT count(*) FROM c) AS n, round((SELECT sum(d) FROM dl)::DOUBLE / (SELECT count(*) FROM c), 6) AS avg_d")
@@ -451,7 +447,7 @@ _RM = f"rt AS (SELECT qid, min(rank) AS r FROM {_RES} WHERE rank <= 5 AND chunk_
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _chunks(spark, d)
     qs = retrieval.questions(c)
-    return windows.top_k(retrieval.bm25(qs, c, fresh=_live(spark, d, c)), ["qid"], [F.desc("score"), F.col("chunk_id")], 5), qs
+    return retrieval.bm25_top(qs, c, 5, fresh=_live(spark, d, c)), qs
 
 
 @query(f"WITH {_CHUNKS}, {_BM_W}, {_RM} SELECT * FROM rm")
