@@ -154,6 +154,14 @@ def term_matches(qs: DataFrame, index: DataFrame, synonyms: Synonyms | None = No
     return question_terms(qs, synonyms).join(index, "term").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
+def term_top(qs: DataFrame, index: DataFrame, k: int, n_chunks: int) -> DataFrame:
+    """(qid, chunk_id, matches, rank): the k chunks of most matching terms of each question, ties to the lower id. Uses the shared folder."""
+    texts, same = distinct_questions(qs)
+    found = blocks.best_sums(_asked(question_terms(texts), blocks.COUNT, "term"), _posts(index, blocks.COUNT, "term", F.lit(1.0)), k, n_chunks)
+    top = top_k(found.select("qid", F.col("id").alias("chunk_id"), F.col("score").cast("long").alias("matches")), ["qid"], [F.desc("matches"), F.col("chunk_id")], k)
+    return for_all(top, same).select("qid", "chunk_id", "matches", "rank")
+
+
 def literals(qs: DataFrame) -> DataFrame:
     """(qid, need, group, term): the literal groups of each question and how many of them a chunk must have."""
     rows = qs.select("qid", T.literal_groups(F.col("question")).alias("ts"))

@@ -329,8 +329,7 @@ _LEX = "mg AS (SELECT qid, chunk_id, max(s) AS strength FROM (SELECT qid, chunk_
 @query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_ASK}, {_MATCH} SELECT qid, chunk_id, matches, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matches DESC, chunk_id) AS rank FROM tm) WHERE rank <= 5")
 def term_postings_topk(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    m = retrieval.term_matches(retrieval.questions(c), retrieval.chunk_terms(c.join(_live(spark, d, c), "chunk_id", "left_semi")))
-    return windows.top_k(m, ["qid"], [F.desc("matches"), F.col("chunk_id")], 5)
+    return retrieval.term_top(retrieval.questions(c), retrieval.chunk_terms(c.join(_live(spark, d, c), "chunk_id", "left_semi")), 5, c.select("chunk_id").count())
 
 
 @query(f"WITH {_CHUNKS}, {_QS}, {_TERMS}, {_COVER} SELECT * FROM cov")

@@ -44,3 +44,14 @@ def flow(df):
 
 def test_graded_ndcg_has_no_rows_of_pairs(spark, sf):
     assert "FlatMapCoGroupsInArrow" in flow(entry.queries()["graded_ndcg"](spark, sf))
+
+
+def test_term_top_is_that_of_all_pairs(spark, texts, sizes):
+    qs, chunks, _ = texts
+    index = retrieval.chunk_terms(chunks)
+    want = top_k(retrieval.term_matches(qs, index), ["qid"], [F.desc("matches"), F.col("chunk_id")], 5)
+    same(retrieval.term_top(qs, index, 5, chunks.count()), want, ["qid", "chunk_id", "matches", "rank"])
+
+
+def test_term_postings_topk_has_no_rows_of_pairs(spark, sf):
+    assert "FlatMapCoGroupsInArrow" in flow(entry.queries()["term_postings_topk"](spark, sf))
