@@ -178,16 +178,16 @@ def covered(qs: DataFrame, index: DataFrame) -> DataFrame:
 
 def lexical(qs: DataFrame, chunks: DataFrame, k: int = 64, fresh: DataFrame | None = None, synonyms: Synonyms | None = None) -> DataFrame:
     """(qid, chunk_id, strength, position): BM25 and term matches merged by the better rank, gated by coverage, top k. The index is
-    written to the shared folder first, unless ``chunks`` is one."""
+    written to the shared folder first, unless ``chunks`` is one; pairs of questions and chunks are scored where blocks of them meet."""
     chunks = chunks if "_terms" in chunks.columns else written_index(chunks)
     live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
-    index = chunk_terms(live)
-    ok = covered(qs, index)
-    a = bm25(qs, chunks, fresh=fresh).withColumn("strength", F.col("score")).select("qid", "chunk_id", "strength")
-    b = term_matches(qs, index, synonyms).select("qid", "chunk_id", F.col("matches").cast("double").alias("strength"))
-    both = a.unionByName(b).groupBy("qid", "chunk_id").agg(F.max("strength").alias("strength")).join(ok, ["qid", "chunk_id"], "left_semi")
-    placed = both.join(live.select("chunk_id", "file_path", "start_line"), "chunk_id")
-    return top_k(placed, ["qid"], [F.desc("strength"), F.col("file_path"), F.col("start_line"), F.col("chunk_id")], k, "position").select("qid", "chunk_id", "strength", "position")
+    texts, same = distinct_questions(qs)
+    asked = _asked(question_tokens(texts), blocks.PART, "token").unionByName(_asked(question_terms(texts, synonyms), blocks.COUNT, "term")).unionByName(_asked(literals(texts), blocks.LITERAL, "term", F.col("group"), F.col("need")))
+    posts = _posts(asked_parts(texts, chunks, fresh=fresh), blocks.PART, "token", F.col("part")).unionByName(_posts(chunk_terms(live), blocks.COUNT, "term", F.lit(1.0)))
+    places = live.select(F.col("chunk_id").alias("id"), F.col("file_path").alias("path"), F.col("start_line").alias("line"))
+    found = blocks.best_sums(asked, posts, k, chunks.count(), places).select("qid", F.col("id").alias("chunk_id"), F.col("score").alias("strength"))
+    top = top_k(found.join(live.select("chunk_id", "file_path", "start_line"), "chunk_id"), ["qid"], [F.desc("strength"), F.col("file_path"), F.col("start_line"), F.col("chunk_id")], k, "position")
+    return for_all(top, same).select("qid", "chunk_id", "strength", "position")
 
 
 def grams(text: Column, width: int = 4) -> Column:

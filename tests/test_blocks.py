@@ -55,3 +55,17 @@ def test_term_top_is_that_of_all_pairs(spark, texts, sizes):
 
 def test_term_postings_topk_has_no_rows_of_pairs(spark, sf):
     assert "FlatMapCoGroupsInArrow" in flow(entry.queries()["term_postings_topk"](spark, sf))
+
+
+def test_lexical_is_that_of_all_pairs(spark, texts, sizes):
+    qs, chunks, fresh = texts
+    live = chunks.join(fresh, "chunk_id", "left_semi")
+    index = retrieval.chunk_terms(live)
+    pairs = retrieval.bm25(qs, chunks, fresh=fresh).unionByName(retrieval.term_matches(qs, index).select("qid", "chunk_id", F.col("matches").cast("double").alias("score")))
+    pairs = pairs.groupBy("qid", "chunk_id").agg(F.max("score").alias("strength")).join(retrieval.covered(qs, index), ["qid", "chunk_id"], "left_semi").join(live, "chunk_id")
+    want = top_k(pairs, ["qid"], [F.desc("strength"), F.col("file_path"), F.col("start_line"), F.col("chunk_id")], 6, "position")
+    same(retrieval.lexical(qs, chunks, 6, fresh), want, ["qid", "chunk_id", "strength", "position"])
+
+
+def test_lexical_merge_has_no_rows_of_pairs(spark, sf):
+    assert "FlatMapCoGroupsInArrow" in flow(entry.queries()["lexical_merge"](spark, sf))
