@@ -197,15 +197,25 @@ def grams(text: Column, width: int = 4) -> Column:
     return F.array_distinct(many)
 
 
+def containing(parts: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """(part, name): the first k names that contain each part. An equality join on the part's rarest substring of four letters among the names
+    (the whole part, if it is shorter), then checked in full: nothing is compared pairwise that shares no substring."""
+    cells = names.select("name", F.explode(F.array_distinct(F.concat(*[grams(F.col("name"), w) for w in (1, 2, 3, 4)]))).alias("gram"))
+    asked = parts.select("part", F.explode(grams(F.col("part"))).alias("gram"))
+    cells = cells.join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = asked.join(cells.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rare = held.groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return top_k(rare.join(cells, "gram").where("instr(name, part) > 0").select("part", "name"), ["part"], [F.col("name")], k).select("part", "name")
+
+
 def symbol_matches(qs: DataFrame, symbols: DataFrame, k: int = 64, synonyms: Synonyms | None = None) -> DataFrame:
     """(qid, symbol_id, match, priority): the k best symbols of each question, by priority, name, path and line.
 
     0 exact: the name is the question or a term it says; 1 expanded: the name is a term it was expanded by; 2 expanded: the
     name contains such a term of 4 letters or more; 3 partial: the name contains the question, or a term of 4 letters or more.
-    Containment is an equality join on the part's first four letters (all, if it has fewer) against the names' substrings
-    of that width, then checked in full: nothing is compared pairwise that shares no substring.
+    Each text, part and name is looked at once. As the order is by priority and name, a name after the first k of a part has k before
+    it in every question that has the part, so the k first names of each part suffice, and of each name its k first symbols.
     """
-    names = symbols.select("symbol_id", F.lower("name").alias("name"))
     question = F.col("question")
     whole = F.array(F.lower(F.trim(question)))
     said, more = T.query_terms(question), T.expansions(question, synonyms)
@@ -214,13 +224,18 @@ def symbol_matches(qs: DataFrame, symbols: DataFrame, k: int = 64, synonyms: Syn
         return F.transform(terms, lambda t: F.struct(t.alias("part"), F.lit(priority).alias("priority")))
 
     long = lambda terms: F.filter(terms, lambda t: F.length(t) >= 4)
-    equal = qs.select("qid", F.explode(F.concat(asked(F.array_union(whole, said), 0), asked(more, 1))).alias("a")).select("qid", F.col("a.part").alias("name"), "a.priority")
-    parts = qs.select("qid", F.explode(F.concat(asked(long(more), 2), asked(F.array_union(whole, long(said)), 3))).alias("a")).select("qid", "a.part", "a.priority").where("part <> ''")
-    cells = names.select("symbol_id", "name", F.explode(F.array_distinct(F.concat(*[grams(F.col("name"), w) for w in (1, 2, 3, 4)]))).alias("gram"))
-    hit = parts.withColumn("gram", F.substring("part", 1, 4)).join(cells, "gram").where("instr(name, part) > 0")
-    both = equal.join(names, "name").select("qid", "symbol_id", "priority").unionByName(hit.select("qid", "symbol_id", "priority"))
-    best = both.groupBy("qid", "symbol_id").agg(F.min("priority").cast("long").alias("priority")).join(symbols.select("symbol_id", "name", "path", "start_line"), "symbol_id")
-    kept = top_k(best, ["qid"], [F.col("priority"), F.lower("name"), F.col("path"), F.col("start_line"), F.col("symbol_id")], k)
+    texts, same = distinct_questions(qs)
+    known = symbols.select("symbol_id", "path", "start_line", F.lower("name").alias("name"))
+    names = write_out(known.select("name").distinct())
+    equal = texts.select("qid", F.explode(F.concat(asked(F.array_union(whole, said), 0), asked(more, 1))).alias("a")).select("qid", F.col("a.part").alias("name"), "a.priority")
+    parts = write_out(texts.select("qid", F.explode(F.concat(asked(long(more), 2), asked(F.array_union(whole, long(said)), 3))).alias("a")).select("qid", "a.part", "a.priority").where("part <> ''"))
+    hit = parts.join(containing(parts.select("part").distinct(), names, k), "part")
+    both = equal.join(names, "name").select("qid", "name", "priority").unionByName(hit.select("qid", "name", "priority"))
+    best = both.groupBy("qid", "name").agg(F.min("priority").cast("long").alias("priority"))
+    best = top_k(best, ["qid"], [F.col("priority"), F.col("name")], k).select("qid", "name", "priority")
+    place = [F.col("path"), F.col("start_line"), F.col("symbol_id")]
+    rows = best.join(top_k(known, ["name"], place, k).drop("rank"), "name")
+    kept = for_all(top_k(rows, ["qid"], [F.col("priority"), F.col("name"), *place], k).select("qid", "symbol_id", "priority"), same)
     match = F.when(F.col("priority") == 0, "exact").when(F.col("priority") < 3, "expanded").otherwise("partial")
     return kept.select("qid", "symbol_id", "priority", match.alias("match"))
 

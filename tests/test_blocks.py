@@ -69,3 +69,30 @@ def test_lexical_is_that_of_all_pairs(spark, texts, sizes):
 
 def test_lexical_merge_has_no_rows_of_pairs(spark, sf):
     assert "FlatMapCoGroupsInArrow" in flow(entry.queries()["lexical_merge"](spark, sf))
+
+
+def test_symbol_matches_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["load", "parse", "config", "record", "ids", "x", "policies"]
+    name = lambda: rng.choice(["_", ""]).join(rng.choice(words).capitalize() if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    symbols = spark.createDataFrame([(i, "r", f"p{rng.randrange(9)}.py", name(), rng.randrange(50), 99) for i in range(300)], "symbol_id long, repo string, path string, name string, start_line int, end_line int")
+    asked = [name() for _ in range(30)] + ["parsing configs", "id", "no such name", " Load "]
+    qs = spark.createDataFrame([(i, asked[i % 34]) for i in range(68)], "qid long, question string")
+    got = {}
+    for r in retrieval.symbol_matches(qs, symbols, 10).collect():
+        got.setdefault(r.qid, {})[r.symbol_id] = r.priority
+    rows = symbols.collect()
+    terms = qs.select("qid", "question", retrieval.T.query_terms(F.col("question")).alias("said"), retrieval.T.expansions(F.col("question")).alias("more")).collect()
+    for q in terms:
+        whole = q.question.strip(" ").lower()
+        found = []
+        for s in rows:
+            low = s.name.lower()
+            p = [0] * (low in [whole, *q.said]) + [1] * (low in q.more) + [2] * any(len(t) > 3 and t in low for t in q.more) + [3] * any(t in low for t in [whole, *[t for t in q.said if len(t) > 3]])
+            if p:
+                found.append((min(p), low, s.path, s.start_line, s.symbol_id))
+        assert got.get(q.qid, {}) == {f[4]: f[0] for f in sorted(found)[:10]}, q
+
+
+def test_symbol_match_cuts_names_before_questions(spark, sf):
+    assert flow(entry.queries()["symbol_match"](spark, sf)).count("WindowGroupLimit") >= 6  # of each part, each question's names, each name
