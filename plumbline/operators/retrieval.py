@@ -334,6 +334,8 @@ def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFram
     most. With ``fresh`` (chunk_id) only these chunks are evidence. Uses the shared folder.
     (qid, rank, chunk_id, path, start_line, end_line, score, reason)."""
     most = min(max(limit * 8, 32), 500)
+    qs, same = distinct_questions(qs)
+    symbols, fresh = write_out(symbols), fresh if fresh is None else write_out(fresh)
     chunks = chunks if "_terms" in chunks.columns else written_index(chunks)
     live = chunks if fresh is None else chunks.join(fresh, "chunk_id", "left_semi")
     best = F.max("strength").over(Window.partitionBy("qid"))  # at most ``most`` rows of a question
@@ -348,10 +350,10 @@ def hybrid(qs: DataFrame, chunks: DataFrame, files: DataFrame, symbols: DataFram
     place = live.select("chunk_id", "repo", F.col("file_path").alias("path"), "start_line", "end_line", "ordinal")
     by_path = direct.groupBy("qid", "chunk_id").agg(F.sum("score").alias("score")).join(place, "chunk_id").groupBy("qid", "repo", "path").agg(F.max("score").alias("score"))
     seeds = top_k(by_path.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.col("path"), F.col("repo")], min(limit, 8)).select("qid", "repo", F.col("path").alias("seed_path"), F.col("score").alias("seed_score"))
-    near = neighbours(seeds.select("qid", "repo", "seed_path"), resolved_edges(deps, files)).join(seeds, ["qid", "repo", "seed_path"])
+    near = neighbours(seeds.select("qid", "repo", "seed_path"), write_out(resolved_edges(deps, files))).join(seeds, ["qid", "repo", "seed_path"])
     first = top_k(place, ["repo", "path"], [F.col("ordinal"), F.col("start_line"), F.col("chunk_id")], 1).select("repo", "path", "chunk_id")
     kept = top_k(near.join(first, ["repo", "path"]), ["qid"], [F.col("path"), F.col("repo")], most, "_place")
     c = kept.select("qid", "chunk_id", F.greatest(F.lit(1.0), 0.25 * F.col("seed_score")).alias("score"), F.concat("direction", F.lit(" "), F.col("seed_path")).alias("reason"))
     merged = direct.unionByName(c).groupBy("qid", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
     ranked = top_k(merged.join(place, "chunk_id"), ["qid"], [F.desc("score"), F.col("path"), F.col("start_line"), F.col("chunk_id")], limit)
-    return ranked.select("qid", "rank", "chunk_id", "path", "start_line", "end_line", "score", "reason")
+    return for_all(ranked, same).select("qid", "rank", "chunk_id", "path", "start_line", "end_line", "score", "reason")

@@ -96,3 +96,7 @@ def test_symbol_matches_are_those_of_all_pairs(spark):
 
 def test_symbol_match_cuts_names_before_questions(spark, sf):
     assert flow(entry.queries()["symbol_match"](spark, sf)).count("WindowGroupLimit") >= 6  # of each part, each question's names, each name
+
+
+def test_hybrid_search_asks_each_text_once(spark, sf):
+    assert "asked#" in flow(entry.queries()["hybrid_search"](spark, sf))
