@@ -100,3 +100,7 @@ def test_symbol_match_cuts_names_before_questions(spark, sf):
 
 def test_hybrid_search_asks_each_text_once(spark, sf):
     assert "asked#" in flow(entry.queries()["hybrid_search"](spark, sf))
+
+
+def test_answer_confidence_asks_each_text_once(spark, sf):
+    assert "asked#" in flow(entry.queries()["answer_confidence"](spark, sf))
